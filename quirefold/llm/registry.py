@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quirefold.llm import quality_rules
+from quirefold.llm import byte_bpe, language_id, quality_classifier, quality_rules
 
 QUERIES = {
+    "op2_byte_bpe": byte_bpe.query,
+    "op4_language_id": language_id.query,
+    "op5_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
 }
 ORACLE = {
