@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quirefold.llm import byte_bpe, language_id, quality_classifier, quality_rules
+from quirefold.llm import byte_bpe, language_id, line_dedup, quality_classifier, quality_rules
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.query,
     "op4_language_id": language_id.query,
     "op5_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_line_dedup": line_dedup.query,
 }
 ORACLE = {
     "op6_quality_rules": quality_rules.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
 }
