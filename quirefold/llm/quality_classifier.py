@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quirefold.llm.common import arrow_batches, fold, pick, table
 from quirefold.llm.textkit import as_bytes, in_slices
@@ -33,7 +32,6 @@ DICTIONARY_BYTES = 32_768
 BLOCK = 512
 LEVEL = 1
 KEEP_AT = 0.3
-FOLDS = 64  # over which the sample of labels is ranked, so that no task sorts them all
 
 
 def blocks(text: bytes) -> list[bytes]:
@@ -100,11 +98,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, list[
         return {}, 0.5
     share = n.get(1, 0) / sum(n.values())
     wanted = 2 * (DICTIONARY_TEXTS + CALIBRATION_TEXTS)  # some are too long, and some ids have no text
-    order = F.xxhash64("doc_id")
-    first = clear.withColumn("h", order).withColumn("r", F.row_number().over(W.partitionBy("quality", F.pmod("h", F.lit(FOLDS))).orderBy("h", "doc_id"))).filter(F.col("r") <= wanted)
-    first = first.withColumn("r", F.row_number().over(W.partitionBy("quality").orderBy("h", "doc_id"))).filter(F.col("r") <= wanted).select("doc_id", "quality", "r")
+    hashed = clear.withColumn("h", F.xxhash64("doc_id"))
+    # the least of each label, found in each partition first
+    first = hashed.filter("quality = 0").orderBy("h", "doc_id").limit(wanted).union(hashed.filter("quality = 1").orderBy("h", "doc_id").limit(wanted))
     # at most 2 * wanted ids
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= LONGEST).join(F.broadcast(first), "doc_id").orderBy("r", "doc_id", "text").limit(4 * wanted).collect()
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= LONGEST).join(F.broadcast(first), "doc_id").orderBy("h", "doc_id", "text").limit(4 * wanted).collect()
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     seen = set()
     for r in rows:
