@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirefold.llm import byte_bpe, language_id, line_dedup, quality_classifier, quality_rules
+from quirefold.llm import byte_bpe, context_tree, language_id, line_dedup, quality_classifier, quality_rules
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
     "op7_line_dedup": line_dedup.query,
+    "op10_context_tree": context_tree.query,
 }
 ORACLE = {
     "op6_quality_rules": quality_rules.ORACLE,
