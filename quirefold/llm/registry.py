@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quirefold.llm import byte_bpe, context_tree, language_id, line_dedup, quality_classifier, quality_rules
+from quirefold.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, quality_classifier, quality_rules
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op2_byte_bpe": byte_bpe.query,
     "op4_language_id": language_id.query,
     "op5_quality_classifier": quality_classifier.query,
