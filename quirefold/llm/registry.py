@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirefold.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, quality_classifier, quality_rules
+from quirefold.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, ngram_join, quality_classifier, quality_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_ngram_join": ngram_join.query,
     "op10_context_tree": context_tree.query,
 }
 ORACLE = {
