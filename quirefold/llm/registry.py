@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirefold.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, ngram_join, quality_classifier, quality_rules
+from quirefold.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, tool_calls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -12,9 +12,11 @@ QUERIES = {
     "op6_quality_rules": quality_rules.query,
     "op7_line_dedup": line_dedup.query,
     "op8_ngram_join": ngram_join.query,
+    "op9_tool_calls": tool_calls.query,
     "op10_context_tree": context_tree.query,
 }
 ORACLE = {
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op9_tool_calls": tool_calls.ORACLE,
 }
