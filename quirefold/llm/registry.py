@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quirefold.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, tool_calls
+from quirefold.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, suffix_dedup, tool_calls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_byte_bpe": byte_bpe.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_language_id": language_id.query,
     "op5_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
