@@ -6,7 +6,8 @@
    largest id), and stores a minimal perfect hash of those that several documents hold, with compact arrays at its
    indices: 48-bit fingerprints, counts, the largest id.
 3. The rows probe the arrays of their shard; what comes back is, for each document, the hashes it loses.
-4. Documents meet their lists by id and drop those lines.
+4. Documents meet their lists by id and drop those lines. That join is a merge join at every size, so texts are exchanged
+   once, in proportion to the input.
 
 Hot lines: a hash that a 1/HEAVY_SHARE of all (document, hash) pairs or more hold can be one of HEAVY_SHARE hashes at
 most. Those are not probed in their shard but sent to every worker with their largest ids, and looked up there. So a
@@ -258,7 +259,7 @@ def query(spark, sf_dir):
             columns = [part.column("doc_id"), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in got], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return docs.join(lost, "id", "left").mapInArrow(run, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    return docs.join(lost.hint("merge"), "id", "left").mapInArrow(run, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -275,7 +276,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             names = [n for n in part.schema.names if n not in (key, gone)]
             yield pa.RecordBatch.from_arrays([new if n == "text" else part.column(n) for n in names], names=names)
 
-    return docs.withColumn(key, _id(F.col("doc_id"))).join(lost, key, "left").mapInArrow(run, docs.schema)
+    return docs.withColumn(key, _id(F.col("doc_id"))).join(lost.hint("merge"), key, "left").mapInArrow(run, docs.schema)
 
 
 ORACLE = r"""
