@@ -180,7 +180,7 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
             grams, first, keys = sets_of(as_bytes(part.column("text")), words)
             yield _batch([(uuid.uuid4().int >> 65, keys.tobytes(), np.diff(first).tobytes(), grams.tobytes())], _SETS)
 
-    return docs.join(chosen, ["id", "text_key"], "left_semi").select("text").mapInArrow(run, "slice bigint, keys binary, sizes binary, hashes binary")
+    return docs.join(chosen.hint("merge"), ["id", "text_key"], "left_semi").select("text").mapInArrow(run, "slice bigint, keys binary, sizes binary, hashes binary")
 
 
 def rare_prefixes(slices: DataFrame, shards: int, percent: int) -> DataFrame:
@@ -397,4 +397,4 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     """The rows, with all their columns, of the smallest id of each component."""
     key = "__ngram_join_id"
     gone = joined(_ids(docs), words, percent).filter("id <> component").select(F.col("id").alias(key)).distinct()
-    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST))).join(gone, key, "left_anti").drop(key)
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST))).join(gone.hint("merge"), key, "left_anti").drop(key)

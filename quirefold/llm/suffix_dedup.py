@@ -162,7 +162,7 @@ def suffixes(docs: DataFrame, found: DataFrame, length: int, seed: int) -> DataF
                     rows.append((int(tokens[r : r + 1].view(np.int64)[0]), ids[k], keys[k], int(a[r]), (keys[k] + 7 * int(a[r])) % SALTS, texts[k][a[r] : b[r] + length - 1]))
             yield _rows(rows, kinds, names)
 
-    return docs.join(found, ["id", "text_key"]).select("id", "text_key", "text", "tokens").mapInArrow(run, "token bigint, id bigint, text_key bigint, start bigint, salt int, data binary")
+    return docs.join(found.hint("merge"), ["id", "text_key"]).select("id", "text_key", "text", "tokens").mapInArrow(run, "token bigint, id bigint, text_key bigint, start bigint, salt int, data binary")
 
 
 def multikey_sort(sums: np.ndarray, starts: np.ndarray, length: int, token: int = TOKEN) -> tuple[np.ndarray, np.ndarray]:
@@ -330,4 +330,4 @@ def query(spark, sf_dir):
             columns = [part.column("doc_id"), *(pa.array([x[k] for x in got], pa.int64()) for k in (0, 2, 3)), pa.array([hashlib.sha256(x[1]).hexdigest() for x in got], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.join(spans, ["id", "text_key"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return docs.join(spans.hint("merge"), ["id", "text_key"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
