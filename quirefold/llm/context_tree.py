@@ -38,12 +38,13 @@ from quirefold.llm.textkit import LOWER, U64, as_bytes, in_slices, lay, owner, p
 
 DEPTH = 5
 SPLITS = 1 << 12
-SAMPLE_TEXTS = 3000
+#: Decisions whose trees are computed at once on the driver.
+PLACES = 32
+SAMPLE_TEXTS = 2000
 LONGEST = 1 << 16
 SLICE = 1 << 23
 CELL_SHARDS = 16
 END = U64(0xE0D5E0D5E0D5E0D5)  # stands for the end among word hashes
-_NO = np.iinfo(np.int32).max
 
 
 def streams(texts: list[bytes | None], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,6 +57,19 @@ def streams(texts: list[bytes | None], depth: int = DEPTH) -> tuple[np.ndarray,
     return data, at, which
 
 
+def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The texts in lists of about limit bytes."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after a shift by eight."""
     shifted = x + 8.0
@@ -80,35 +94,35 @@ class Tree:
 
     @classmethod
     def choose(cls, texts: list[bytes], depth: int = DEPTH, splits: int = SPLITS) -> Tree:
-        data, at, _ = streams(texts, depth)
-        node = np.zeros(len(at), dtype=np.int64)
-        step, parent, split, open_nodes = [np.zeros(256, dtype=np.int32)], [-1], [False], np.array([0])
-        least = max(2, len(at) // splits)
+        size = sum(map(len, texts)) + len(texts)
+        least = max(2, size // splits)
+        step, parent, split = [np.zeros(256, dtype=np.int32)], [-1], [False]
+        grown = [0]
         for d in range(1, depth + 1):
             is_open = np.zeros(len(step), dtype=bool)
-            is_open[open_nodes] = True
-            inside = is_open[node]
-            code = node * 256 + data[at - d]
-            found, counts = np.unique(code[inside], return_counts=True)
-            found = found[counts >= least]
-            if not len(found):
-                break
-            grown = []
-            for base in np.unique(found >> 8):  # at most splits
+            is_open[grown] = True
+            counts = np.zeros(len(step) * 256, dtype=np.int64)
+            so_far = cls(np.stack(step), np.array(parent), np.array(split))
+            for some in pieces(texts):
+                data, at, _ = streams(some, depth)
+                node = so_far.leaf(data, at, d - 1).astype(np.int64)
+                inside = is_open[node]
+                counts += np.bincount(node[inside] * 256 + data[at[inside] - d], minlength=len(counts))
+            found, grown = np.flatnonzero(counts >= least), []
+            for base in np.unique(found >> 8).tolist():  # at most splits
                 split[base] = True
                 step[base][:] = len(step)  # all others
                 step.append(np.full(256, len(step), dtype=np.int32))
-                parent.append(int(base))
-                split.append(False)
-            for c in found:
-                base, byte = int(c) >> 8, int(c) & 255
-                step[base][byte] = len(step)
-                grown.append(len(step))
-                step.append(np.full(256, len(step), dtype=np.int32))
                 parent.append(base)
                 split.append(False)
-            node = np.where(inside, np.stack(step)[node, data[at - d]], node)
-            open_nodes = np.array(grown)
+                for byte in (found[found >> 8 == base] & 255).tolist():
+                    step[base][byte] = len(step)
+                    grown.append(len(step))
+                    step.append(np.full(256, len(step), dtype=np.int32))
+                    parent.append(base)
+                    split.append(False)
+            if not grown:
+                break
         return cls(np.stack(step), np.array(parent), np.array(split))
 
     def leaf(self, data: np.ndarray, at: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -121,15 +135,29 @@ class Tree:
     def predictions(self, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 of each byte's probability in each leaf, from counts of leaf * 256 + byte."""
         nodes = len(self.parent)
-        total = np.zeros((nodes, 256))
-        total.reshape(-1)[cells] = counts
+        total = np.zeros((nodes, 257))
+        total[cells >> 8, (cells & 255) + 1] = counts
         for k in range(nodes - 1, 0, -1):  # children come after their parents
             total[self.parent[k]] += total[k]
-        tree = np.zeros((nodes, 512))  # of each byte's decisions: place 1 is the first bit, 256 + byte the end of the last
-        tree[:, 256:] = total
-        for p in range(255, 0, -1):
-            tree[:, p] = tree[:, 2 * p] + tree[:, 2 * p + 1]
-        zeros, ones = tree[:, 2:512:2], tree[:, 3:512:2]  # of places 1 .. 255
+        np.cumsum(total, axis=1, out=total)
+        out = np.zeros((nodes, 256), dtype=np.float32)
+        # each place is the decision about one bit after the bits before it, and has a context tree of its own
+        for bit in range(8):
+            width = 256 >> bit
+            for first in range(0, 256, max(width, PLACES)):
+                lows = np.arange(first, min(256, first + max(width, PLACES)), width)
+                middle = lows + width // 2
+                zeros, ones = total[:, middle] - total[:, lows], total[:, lows + width] - total[:, middle]
+                p = np.clip(self._mixed(zeros, ones), 1e-12, 1 - 1e-12)
+                for n, low in enumerate(lows):
+                    half = width // 2
+                    out[:, low : low + half] += np.log10(1 - p[:, n : n + 1])
+                    out[:, low + half : low + width] += np.log10(p[:, n : n + 1])
+        return out
+
+    def _mixed(self, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        """Probability of a one in each node (of interest in the leaves) and place, mixed over the node's path."""
+        nodes = len(self.parent)
         own = kt(zeros, ones)
         whole, below = own.copy(), np.zeros_like(own)
         for k in range(nodes - 1, -1, -1):
@@ -139,22 +167,14 @@ class Tree:
                 below[self.parent[k]] += whole[k]
         one = (ones + 0.5) / (zeros + ones + 1.0)
         weight = np.where(self.split[:, None], 1.0 / (1.0 + np.exp(np.clip(below - own, -700, 700))), 1.0)
-        # a child's prediction stands for its parent's open share: from the root down, sum the estimates of the path
-        share, mixed = np.ones((nodes, 255)), np.zeros((nodes, 255))
+        # a node's share is what its ancestors leave open: from the root down, sum the estimates of the path
+        share, mixed = np.ones_like(own), np.zeros_like(own)
         for k in range(nodes):
             if k:
                 up = self.parent[k]
                 share[k], mixed[k] = share[up] * (1 - weight[up]), mixed[up]
-            mixed[k] = mixed[k] + share[k] * weight[k] * one[k]
-        mixed = np.clip(mixed, 1e-12, 1 - 1e-12)
-        out = np.zeros((nodes, 256), dtype=np.float64)
-        byte = np.arange(256)
-        for bit in range(8):
-            place = (256 + byte) >> (8 - bit)
-            said = (byte >> (7 - bit)) & 1
-            p = mixed[:, place - 1]
-            out += np.log10(np.where(said, p, 1 - p))
-        return out.astype(np.float32)
+            mixed[k] += share[k] * weight[k] * one[k]
+        return mixed
 
 
 def train(docs: DataFrame, mod: int, held: int) -> tuple[Tree, np.ndarray]:
