@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,13 +16,14 @@ VARIANT_RATIO = 0.8
 
 def only_variants(a: str, b: str, ratio: float = VARIANT_RATIO) -> bool:
     """The lines differ by spelling variants of single words at most."""
-    x, y = a.split(), b.split()
+    x, y = a.lower().split(), b.lower().split()
     for what, i, j, k, m in difflib.SequenceMatcher(None, x, y).get_opcodes():
         if what == "equal":
             continue
         if what != "replace" or j - i != m - k:
             return False
-        if any(difflib.SequenceMatcher(None, p.lower(), q.lower()).ratio() < ratio for p, q in zip(x[i:j], y[k:m], strict=True)):
+        pairs = [(re.sub("[^a-z]", "", p), re.sub("[^a-z]", "", q)) for p, q in zip(x[i:j], y[k:m], strict=True)]
+        if any(p != q and difflib.SequenceMatcher(None, p, q).ratio() < ratio for p, q in pairs):
             return False
     return True
 
