@@ -42,7 +42,7 @@ SPLITS = 1 << 12
 PLACES = 32
 SAMPLE_TEXTS = 2000
 LONGEST = 1 << 16
-SLICE = 1 << 23
+SLICE = 3_800_000
 CELL_SHARDS = 16
 END = U64(0xE0D5E0D5E0D5E0D5)  # stands for the end among word hashes
 
@@ -231,7 +231,7 @@ def score(docs: DataFrame, tree: Tree, log_p: np.ndarray) -> DataFrame:
 def word_slices(docs: DataFrame) -> DataFrame:
     """One row a slice of documents: distinct word hashes in order, their counts in training texts, and for each hash the
     documents that hold it and how often."""
-    arrow_batches(docs.sparkSession, 4000)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in in_slices(batches, limit=SLICE):

@@ -37,7 +37,7 @@ from quirefold.llm.textkit import IS_SPACE, LOWER, U64, as_bytes, in_slices, lay
 MIN_CHARS = 20
 MIN_DOCS = 3
 LOWEST = -(1 << 63)
-SLICE = 1 << 23
+SLICE = 1_900_000
 #: Hashes that go to every worker are HEAVY_SHARE at most, and each is held by HEAVY_LEAST documents at least.
 HEAVY_SHARE = 10_000
 HEAVY_LEAST = 1000
@@ -73,7 +73,7 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 def hash_rows(docs: DataFrame, shards: int) -> DataFrame:
     """For each slice and shard: distinct hashes, how many ids hold each, those ids in order, and how many there are in all."""
-    arrow_batches(docs.sparkSession, 4000)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, limit=SLICE):

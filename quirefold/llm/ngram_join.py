@@ -44,7 +44,7 @@ from quirefold.llm.textkit import LOWER, U64, as_bytes, gram_hashes, in_slices,
 WORDS = 4
 PERCENT = 85
 LOWEST = -(1 << 63)
-SLICE = 1 << 22
+SLICE = 1_900_000
 #: Shingles of the sets that one task searches; larger groups are dealt in chunks of half as many.
 UNIT = 1 << 21
 MU = 0.0085  # weight of a probe against a merge step, in the rule for how many lists are long
@@ -111,7 +111,7 @@ _PIECE_SQL = "shard bigint, slice bigint, hashes binary, owners binary, ids arra
 def first_shingles(docs: DataFrame, shards: int, percent: int, words: int) -> DataFrame:
     """docs: id, text_key, text. For each slice one row of its documents (shard -1) and, for each shard, one of the first
     shingles of its distinct sets."""
-    arrow_batches(docs.sparkSession, 4000)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, limit=SLICE):
@@ -173,7 +173,7 @@ _SETS = [("slice", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), (
 
 def whole_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     """One row a slice: keys, sizes and hashes of the sets of the chosen documents (id, text_key)."""
-    arrow_batches(docs.sparkSession, 4000)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, limit=SLICE):

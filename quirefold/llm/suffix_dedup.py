@@ -42,7 +42,7 @@ LENGTH = 400
 SEED = 64
 TOKEN = 100
 LOWEST = -(1 << 63)
-SLICE = 1 << 21
+SLICE = 1_900_000
 BUCKET_BYTES = 4 << 20
 SALTS = 1 << 16
 

@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+#: Under 2**21 with the gaps, so that the power tables below have that many entries.
+SLICE_BYTES = 1_900_000
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15 | 1
