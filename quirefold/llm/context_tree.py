@@ -42,7 +42,7 @@ SPLITS = 1 << 12
 PLACES = 32
 SAMPLE_TEXTS = 2000
 LONGEST = 1 << 16
-SLICE = 3_800_000
+SLICE = 1_900_000
 CELL_SHARDS = 16
 END = U64(0xE0D5E0D5E0D5E0D5)  # stands for the end among word hashes
 

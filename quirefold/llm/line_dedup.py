@@ -37,7 +37,7 @@ from quirefold.llm.textkit import IS_SPACE, LOWER, U64, as_bytes, in_slices, lay
 MIN_CHARS = 20
 MIN_DOCS = 3
 LOWEST = -(1 << 63)
-SLICE = 1_900_000
+SLICE = 950_000
 #: Hashes that go to every worker are HEAVY_SHARE at most, and each is held by HEAVY_LEAST documents at least.
 HEAVY_SHARE = 10_000
 HEAVY_LEAST = 1000

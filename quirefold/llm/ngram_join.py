@@ -44,7 +44,7 @@ from quirefold.llm.textkit import LOWER, U64, as_bytes, gram_hashes, in_slices,
 WORDS = 4
 PERCENT = 85
 LOWEST = -(1 << 63)
-SLICE = 1_900_000
+SLICE = 950_000
 #: Shingles of the sets that one task searches; larger groups are dealt in chunks of half as many.
 UNIT = 1 << 21
 MU = 0.0085  # weight of a probe against a merge step, in the rule for how many lists are long

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Under 2**21 with the gaps, so that the power tables below have that many entries.
-SLICE_BYTES = 1_900_000
+#: Under 2**20 with the gaps, so that the power tables below have that many entries. Arrays over a slice take 8 bytes for
+#: each of its bytes, and an operator may hold a dozen of them.
+SLICE_BYTES = 950_000
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15 | 1
