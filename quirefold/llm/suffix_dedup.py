@@ -42,8 +42,8 @@ LENGTH = 400
 SEED = 64
 TOKEN = 100
 LOWEST = -(1 << 63)
-SLICE = 1_900_000
-BUCKET_BYTES = 4 << 20
+SLICE = 950_000
+BUCKET_BYTES = 3 << 19
 SALTS = 1 << 16
 
 
@@ -159,7 +159,7 @@ def suffixes(docs: DataFrame, found: DataFrame, length: int, seed: int) -> DataF
             for x, y in _spans(text):
                 k = text[x]
                 for r in np.flatnonzero(np.isin(tokens[x:y], known[k])) + x:
-                    rows.append((int(tokens[r : r + 1].view(np.int64)[0]), ids[k], keys[k], int(a[r]), (keys[k] + 7 * int(a[r])) % SALTS, texts[k][a[r] : b[r] + length - 1]))
+                    rows.append((int(tokens[r : r + 1].view(np.int64)[0]), ids[k], keys[k], int(a[r]), (ids[k] * 7919 + int(a[r])) % SALTS, texts[k][a[r] : b[r] + length - 1]))
             yield _rows(rows, kinds, names)
 
     return docs.join(found.hint("merge"), ["id", "text_key"]).select("id", "text_key", "text", "tokens").mapInArrow(run, "token bigint, id bigint, text_key bigint, start bigint, salt int, data binary")
@@ -167,8 +167,8 @@ def suffixes(docs: DataFrame, found: DataFrame, length: int, seed: int) -> DataF
 
 def multikey_sort(sums: np.ndarray, starts: np.ndarray, length: int, token: int = TOKEN) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the suffixes that share their first length bytes with another, and the number of their group."""
-    left = np.arange(len(starts))
-    group = np.zeros(len(starts), dtype=np.int64)
+    left = np.arange(len(starts), dtype=np.int32)
+    group = np.zeros(len(starts), dtype=np.int32)
     for depth in range(0, length, token):
         at = starts[left] + depth
         key = span_hashes(sums, at, at + min(token, length - depth))
@@ -178,7 +178,7 @@ def multikey_sort(sums: np.ndarray, starts: np.ndarray, length: int, token: int
         new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
         alone = new.copy()
         alone[:-1] &= new[1:]
-        group = np.cumsum(new)[~alone]
+        group = np.cumsum(new, dtype=np.int32)[~alone]
         left = left[~alone]
         if not len(left):
             break
@@ -206,8 +206,8 @@ def sorted_buckets(rows: DataFrame, buckets: int, shards: int, length: int) -> D
         sizes = np.array([len(x) for x in data], dtype=np.int64)
         offsets = np.cumsum(sizes) - sizes
         windows = sizes - length + 1
-        record = np.repeat(np.arange(len(data)), windows)
-        inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        record = np.repeat(np.arange(len(data), dtype=np.int32), windows)
+        inner = np.arange(windows.sum(), dtype=np.int32) - np.repeat((np.cumsum(windows) - windows).astype(np.int32), windows)
         starts = offsets[record] + inner
         sums = prefix_sums(buffer)
         found, group = multikey_sort(sums, starts, length)
