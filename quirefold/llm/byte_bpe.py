@@ -30,7 +30,7 @@ from quirefold.llm.textkit import as_bytes, in_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces kept between batches in a worker; beyond it the table starts anew. It bounds memory, not work.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 80_000
 
 
 def byte_table() -> list[str]:
@@ -79,7 +79,7 @@ class Codec:
         new = list({piece for one in pieces for piece in one if piece not in kept})
         # latin-1 reads each byte as the character of its number; translate puts the byte table's in its place
         spelt = [piece.encode().decode("latin-1").translate(self.translate) for piece in new]
-        for piece, got in zip(new, self.library.encode_batch(spelt, add_special_tokens=False), strict=True):
+        for piece, got in zip(new, self.library.encode_batch_fast(spelt, add_special_tokens=False), strict=True):
             kept[piece] = got.ids
         return [[kept[piece] for piece in one] for one in pieces]
 

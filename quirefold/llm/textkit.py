@@ -7,12 +7,27 @@ is handled in slices of bounded bytes, so memory follows the longest single text
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+
+
+def _return_memory() -> None:
+    """Workers are reused by later stages: arrays over a megabyte are mapped on their own, so that they go back to the
+    system when they are freed, and Arrow's batches too. Elsewhere than on glibc nothing is changed."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        m_mmap_threshold = -3
+        mallopt(m_mmap_threshold, 1 << 20)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_memory()
+
 #: Under 2**20 with the gaps, so that the power tables below have that many entries. Arrays over a slice take 8 bytes for
 #: each of its bytes, and an operator may hold a dozen of them.
 SLICE_BYTES = 950_000
