@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import arrow_batches, fold, pick, table
 from quirefold.llm.textkit import as_bytes, in_slices
 
-DICTIONARY_TEXTS = 400
+DICTIONARY_TEXTS = 800
 CALIBRATION_TEXTS = 800
-LONGEST = 1 << 16
+LONGEST = 1 << 15
 DICTIONARY_BYTES = 32_768
 BLOCK = 512
 LEVEL = 1
@@ -101,8 +101,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, list[
     hashed = clear.withColumn("h", F.xxhash64("doc_id"))
     # the least of each label, found in each partition first
     first = hashed.filter("quality = 0").orderBy("h", "doc_id").limit(wanted).union(hashed.filter("quality = 1").orderBy("h", "doc_id").limit(wanted))
-    # at most 2 * wanted ids
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= LONGEST).join(F.broadcast(first), "doc_id").orderBy("h", "doc_id", "text").limit(4 * wanted).collect()
+    # at most 2 * wanted ids, so the broadcast and the rows collected are bounded
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= LONGEST).join(F.broadcast(first), "doc_id").orderBy("h", "doc_id", "text").limit(2 * wanted).collect()
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     seen = set()
     for r in rows:
