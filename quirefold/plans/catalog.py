@@ -510,3 +510,13 @@ def differing_lines(spark, sf_dir):
     left = _lines(spark, sf_dir).select("doc_id", F.col("seq").alias("line_no"), F.col("text").alias("line"))
     right = left.withColumn("line", F.when(F.col("line_no") % 5 == 2, F.concat("line", F.lit(" extra words"))).otherwise(F.upper("line")))
     return compare.differing_lines(left, right)
+
+
+@_query(f"WITH {_ITEMS} SELECT doc_id, seq AS line_no, CASE label WHEN 'section_header' THEN '## ' WHEN 'list_item' THEN '- ' ELSE '' END || text || chr(10) AS line FROM items WHERE item_kind = 'text' AND label NOT IN ('page_header', 'page_footer')")
+def markdown(spark, sf_dir):
+    return sinks.markdown_lines(_items(spark, sf_dir))
+
+
+@_query(f"WITH {_ITEMS}, n AS (SELECT doc_id, max(page_no) AS pages FROM items GROUP BY doc_id) SELECT doc_id, seq, page_no FROM items JOIN n USING (doc_id) WHERE page_no = 1")
+def page_slice(spark, sf_dir):
+    return layout.page_slice(_items(spark, sf_dir), 1, 1).select("doc_id", "seq", "page_no")

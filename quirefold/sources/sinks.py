@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quirefold.operators import chunks as C
@@ -59,3 +59,31 @@ def wav_file(audio: DataFrame, path: str | Path) -> None:
     """The audio of a single document."""
     row = audio.first()
     Path(path).write_bytes(wav(bytes(row["pcm"]), row["sample_rate"]))
+
+
+def markdown_lines(items: DataFrame) -> DataFrame:
+    """doc_id, line_no, line: layout items as Markdown; page headers and footers are left out."""
+    mark = F.when(F.col("label") == "section_header", "## ").when(F.col("label") == "list_item", "- ").otherwise("")
+    kept = items.filter((F.col("item_kind") == "text") & ~F.col("label").isin(*C.PAGE_EDGES))
+    return kept.select("doc_id", F.col("seq").alias("line_no"), F.concat(mark, "text", F.lit("\n")).alias("line"))
+
+
+def observed(paragraphs: DataFrame, name: str = "paragraphs") -> tuple[DataFrame, Observation]:
+    """The frame, and an observation that holds its counts once it has been written: progress without a second pass."""
+    watch = Observation(name)
+    pages = F.approx_count_distinct(F.struct("doc_id", F.element_at("meta", F.lit("page_#"))))
+    return paragraphs.observe(watch, F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("characters"), pages.alias("pages")), watch
+
+
+def outline(value, indent: int = 0) -> Iterator[str]:
+    """Lines of nested dicts and lists, for looking at intermediate results."""
+    pad = "  " * indent
+    if isinstance(value, (dict, list, tuple)):
+        for key, inner in value.items() if isinstance(value, dict) else enumerate(value):
+            if isinstance(inner, (dict, list, tuple)):
+                yield f"{pad}{key}:"
+                yield from outline(inner, indent + 1)
+            else:
+                yield f"{pad}{key}: {inner}"
+    else:
+        yield f"{pad}{value}"

@@ -144,3 +144,11 @@ def test_listing(spark, tmp_path):
     sinks.write_listing(sinks.meta_lines(df), str(tmp_path / "out"))
     (part,) = (tmp_path / "out" / "doc_id=1").glob("part-*")
     assert part.read_text() == "[]\na\n\n[a: z | k: v]\nb\n\n"
+
+
+def test_watching(spark):
+    df = spark.createDataFrame([(1, "abc", {"page_#": "1"}), (1, "de", {"page_#": "2"})], "doc_id long, text string, meta map<string,string>")
+    out, watch = sinks.observed(df)
+    out.write.format("noop").mode("overwrite").save()
+    assert watch.get == {"paragraphs": 2, "characters": 5, "pages": 2}
+    assert list(sinks.outline({"a": [1, {"b": 2}], "c": "d"})) == ["a:", "  0: 1", "  1:", "    b: 2", "c: d"]
