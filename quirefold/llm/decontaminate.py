@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm.common import arrow_batches, pick, table
-from quirefold.llm.textkit import LOWER, U64, as_bytes, gram_hashes, in_slices, lay, owner, prefix_sums, span_hashes, words_of
+from quirefold.llm.textkit import LOWER, U64, as_bytes, gram_hashes, in_slices, lay, owner, prefix_sums, slices, span_hashes, words_of
 
 N = 3
 RARE = 1e-9
@@ -209,19 +209,24 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], T._parse_datatype_string(schema))
 
 
+def _clean(shared, threshold: float):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:  # only the verdict comes back, not the text
+        stays = np.ones(len(texts), dtype=bool)
+        at = 0
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"])) if len(texts) else ():
+            stays[[at + x[0] for x in find(as_bytes(part.column("text")), shared.value, threshold)]] = False
+            at += part.num_rows
+        return pa.array(stays)
+
+    return clean
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, whose text holds no copy of an item."""
     out = docs
     for seeds in seed_blocks(pick(docs, text="string"), items):
-        shared = docs.sparkSession.sparkContext.broadcast(seeds)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part in in_slices(batches):
-                stays = np.ones(part.num_rows, dtype=bool)
-                stays[[x[0] for x in find(as_bytes(part.column("text")), shared.value, threshold)]] = False
-                yield part.filter(pa.array(stays))
-
-        out = out.mapInArrow(run, docs.schema)
+        out = out.filter(_clean(docs.sparkSession.sparkContext.broadcast(seeds), threshold)("text"))
     return out
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import arrow_batches, dropped, pick, table, written
 from quirefold.llm.perfect_hash import PerfectHash
-from quirefold.llm.textkit import IS_SPACE, LOWER, U64, as_bytes, in_slices, lay, mix, owner, prefix_sums, span_hashes
+from quirefold.llm.textkit import IS_SPACE, LOWER, U64, as_bytes, in_slices, lay, mix, owner, prefix_sums, slices, span_hashes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -268,15 +268,18 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     lost, heavy, top = lost_lines(docs.select(_id(F.col("doc_id")).alias("id"), F.col("text").cast("string").alias("text")), min_docs)
     lost = lost.withColumnsRenamed({"id": key, "lost": gone})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_slices(batches):
-            texts = as_bytes(part.column("text"))
-            got = kept_lines(texts, part.column(key).to_pylist(), part.column(gone).to_pylist(), heavy, top)
-            new = pa.array([None if t is None else x[0] for t, x in zip(texts, got, strict=True)], pa.binary()).cast(part.schema.field("text").type)
-            names = [n for n in part.schema.names if n not in (key, gone)]
-            yield pa.RecordBatch.from_arrays([new if n == "text" else part.column(n) for n in names], names=names)
+    @F.arrow_udf("string")
+    def changed(texts: pa.Array, ids: pa.Array, lists: pa.Array) -> pa.Array:
+        """The new text, or null where nothing goes: most texts do not come back from Python."""
+        out: list[bytes | None] = []
+        batch = pa.RecordBatch.from_arrays([texts, ids, lists], names=["text", "id", "lost"])
+        for part in slices(batch) if len(texts) else ():
+            got = kept_lines(as_bytes(part.column("text")), part.column("id").to_pylist(), part.column("lost").to_pylist(), heavy, top)
+            out += [x[0] if x[2] else None for x in got]
+        return pa.array(out, pa.binary()).cast(texts.type)
 
-    return docs.withColumn(key, _id(F.col("doc_id"))).join(lost.hint("merge"), key, "left").mapInArrow(run, docs.schema)
+    joined = docs.withColumn(key, _id(F.col("doc_id"))).join(lost.hint("merge"), key, "left")
+    return joined.withColumn("text", F.coalesce(changed(F.col("text").cast("string"), key, gone), F.col("text"))).select(*docs.columns)
 
 
 ORACLE = r"""

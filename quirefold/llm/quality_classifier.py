@@ -159,19 +159,19 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, with all their columns, whose text is predicted good."""
     known = pick(labels, doc_id="bigint", quality="int").filter((fold(F.col("doc_id"), 5) != 0) & F.col("doc_id").isNotNull())
     model = fit(pick(docs, doc_id="bigint", text="string"), known)
+    if "weights" not in model:
+        return docs.filter(F.lit(model["share"] >= KEEP_AT))
     arrow_batches(docs.sparkSession)
+    made: list[Sizer] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizer = Sizer(model["good"], model["bad"]) if "weights" in model else None
-        for part in in_slices(batches):
-            if sizer is None:
-                if model["share"] >= KEEP_AT:
-                    yield part
-                continue
-            x = inputs(np.array([sizer.sizes(t or b"") for t in as_bytes(part.column("text"))]))
-            yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ model["weights"], -500, 500))) >= KEEP_AT))
-
-    return docs.mapInArrow(run, docs.schema)
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:  # only the verdict comes back, not the text
+        if not made:
+            made.append(Sizer(model["good"], model["bad"]))
+        x = inputs(np.array([made[0].sizes(t or b"") for t in as_bytes(texts)], dtype=np.int64).reshape(-1, 3))
+        return pa.array(1 / (1 + np.exp(-np.clip(x @ model["weights"], -500, 500))) >= KEEP_AT)
+
+    return docs.filter(good("text"))
 
 
 def query(spark, sf_dir):
