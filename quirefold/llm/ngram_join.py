@@ -48,6 +48,8 @@ SLICE = 950_000
 #: Shingles of the sets that one task searches; larger groups are dealt in chunks of half as many.
 UNIT = 1 << 21
 MU = 0.0085  # weight of a probe against a merge step, in the rule for how many lists are long
+#: Candidates of one query from which on the long lists are counted in one pass instead of probed for each.
+MANY = 64
 HEAP = 256  # so many entries are merged by a heap, more by merging whole runs
 
 
@@ -290,12 +292,16 @@ class Inverted:
         long = min(need - 1, int(need / (MU * math.log2(max(2, int(length[-1]))) + 1)))
         cut = len(length) - long
         found, counts = merge_counts([self.entries[a:b] for a, b in zip(low[:cut], high[:cut], strict=True)], max(1, need - long))
+        overlap = -(-self.percent * (n + self.n[found]) // (100 + self.percent))
+        able = counts + long >= overlap
+        found, counts, overlap = found[able], counts[able], overlap[able]
+        in_long = None
+        if len(found) > MANY:  # one pass over the long lists costs less than so many probes
+            entries = [self.entries[a:b] for a, b in zip(low[cut:], high[cut:], strict=True)]
+            in_long = np.bincount(np.concatenate(entries), minlength=q)[found] if entries else np.zeros(len(found), dtype=np.int64)
         for k in np.argsort(-counts, kind="stable"):
-            y, have = int(found[k]), int(counts[k])
-            if skip(y):
-                continue
-            overlap = -(-self.percent * (n + int(self.n[y])) // (100 + self.percent))
-            if have + long >= overlap and have + self.contains(low[cut:], high[cut:], y) >= overlap:
+            y = int(found[k])
+            if not skip(y) and counts[k] + (self.contains(low[cut:], high[cut:], y) if in_long is None else in_long[k]) >= overlap[k]:
                 yield y
 
 
