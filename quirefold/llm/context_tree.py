@@ -5,11 +5,15 @@ Krichevsky-Trofimov's; a node that is split mixes its estimate half and half wit
 depths, so the weight of each depth follows from what was counted. The counts are then fixed: the prediction of a byte in
 a context is one number, and a text's code length is the sum over its bytes.
 
-Which contexts are split is chosen on a bounded sample of training texts (SAMPLE_TEXTS, each whole and at most
-LONGEST bytes): a context that holds at least 1/SPLITS of the sample's bytes, so at most SPLITS at each depth. The
-children of a split context are those that hold as much, and one for all others; that is a partition of the contexts, so
-the mixture is proper. The counts and all scores cover all texts. The tree has at most 2 * SPLITS * DEPTH leaves, which
-bounds what is collected and sent to workers.
+A context is split if one that is a byte longer occurs LEAST times in the training texts, all of them counted. The children
+of a split context are those that occur as often, and one for all others; that is a partition of the contexts, so the
+mixture is proper. The tree grows with the corpus, down to DEPTH bytes.
+
+It is never in one place. A slice of documents sends each shard its distinct cells (context and byte, as one number with
+the nearest byte first) once, with their counts in training texts. A shard holds whole subtrees below contexts of TOP bytes.
+It weighs them upwards, the driver weighs the top of the tree (its size is bounded by the alphabet), and a shard then
+weighs downwards and gives each slice the log probabilities of its cells; the slice sums over its documents. `Tree` is the
+same model over texts in memory, as a restatement for tests.
 
 The base score needs the count of each word. Words are counted by 64-bit hash: a slice of documents sends each shard of
 the hash space its distinct words once, with their counts in training texts, and gets the corpus counts back; the slice
@@ -34,16 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import arrow_batches, dropped, fold, pick, table, written
-from quirefold.llm.textkit import LOWER, U64, as_bytes, in_slices, lay, owner, prefix_sums, span_hashes, words_of
+from quirefold.llm.textkit import LOWER, U64, as_bytes, in_slices, lay, mix, owner, prefix_sums, span_hashes, words_of
 
-DEPTH = 5
+DEPTH = 6
+#: Contexts above the shards.
+TOP = 3
+#: Occurrences that give a context a node of its own.
+LEAST = 2
 SPLITS = 1 << 12
 #: Decisions whose trees are computed at once on the driver.
 PLACES = 32
-SAMPLE_TEXTS = 2000
-LONGEST = 1 << 16
 SLICE = 1_900_000
-CELL_SHARDS = 16
+#: Bytes of a slice whose cells are dealt; they are sorted in pieces of SLICE.
+CELL_SLICE = 16_000_000
 END = U64(0xE0D5E0D5E0D5E0D5)  # stands for the end among word hashes
 
 
@@ -177,55 +184,235 @@ class Tree:
         return mixed
 
 
-def train(docs: DataFrame, mod: int, held: int) -> tuple[Tree, np.ndarray]:
-    """docs: doc_id, text, held_out. The tree and its predictions."""
-    spark = docs.sparkSession
-    rows = docs.filter(~F.col("held_out")).select("doc_id", "text")
-    n = rows.count()
-    part = min(1.0, 1.5 * SAMPLE_TEXTS / max(n, 1))
-    sample = rows.filter((F.octet_length("text") <= LONGEST) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))))
-    texts = sorted((r[0] or "").encode() for r in sample.select("text").limit(2 * SAMPLE_TEXTS).collect())
-    tree = Tree.choose(texts)
-    shared = spark.sparkContext.broadcast((tree.step, tree.parent, tree.split))
-    arrow_batches(spark)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Tree(*shared.value)
-        total = np.zeros(len(own.parent) * 256, dtype=np.int64)
-        for piece in in_slices(batches):
-            data, at, _ = streams(as_bytes(piece.column("text")))
-            cells, counts = np.unique(own.leaf(data, at).astype(np.int64) * 256 + data[at], return_counts=True)
-            total[cells] += counts
-        cells = np.flatnonzero(total)
-        rows = [(k, cells[cells % CELL_SHARDS == k]) for k in range(CELL_SHARDS)]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([c.tobytes() for _, c in rows], pa.binary()), pa.array([total[c].tobytes() for _, c in rows], pa.binary())], names=["shard", "cells", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells, counts = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("cells", "counts"))
-        names, place = np.unique(cells, return_inverse=True)
-        return pd.DataFrame([{"cells": names.tobytes(), "counts": np.bincount(place, weights=counts, minlength=len(names)).astype(np.int64).tobytes()}])
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+
+
+def numbered(starts: np.ndarray, n: int) -> np.ndarray:
+    """The number of the run that holds each of n places."""
+    return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+
+
+def levels(cells: np.ndarray, counts: np.ndarray, top: int, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth from top: node * 256 + byte, in order (odd nodes are for all others); a cell of each; the place of
+    each cell among them, or -1; their counts. cells: in order, depth bytes of context and one byte."""
+    n, byte, out = len(cells), (cells & U64(255)).astype(np.int64), []
+    above, above_first, is_open = np.zeros(n, dtype=np.int64), np.zeros(1, dtype=np.int64), np.ones(n, dtype=bool)
+    for d in range(top, depth + 1):
+        prefix = cells >> U64(8 * (depth - d) + 8)
+        first = runs(prefix)
+        group = numbered(first, n)
+        own = (np.add.reduceat(counts, first) >= LEAST)[group] | (d == 0)
+        if d == top:
+            reached, node = own, 2 * group
+        else:
+            reached = is_open & np.logical_or.reduceat(own, above_first)[above]
+            node = np.where(own, 2 * group, 2 * above + 1)
+        rows = np.flatnonzero(reached)
+        if not len(rows):
+            break
+        names, one, place = np.unique(node[rows] << 8 | byte[rows], return_index=True, return_inverse=True)
+        where = np.full(n, -1, dtype=np.int64)
+        where[rows] = place
+        out.append((names, rows[one], where, np.bincount(place, weights=counts[rows], minlength=len(names))))
+        above, above_first, is_open = group, first, reached & own
+    return out
 
-    counted = rows.mapInArrow(count, "shard int, cells binary, counts binary").groupBy("shard").applyInPandas(add, "cells binary, counts binary").collect()  # leaves x 256 cells at most
-    cells, counts = (np.frombuffer(b"".join(r[k] for r in counted), np.int64) for k in (0, 1))
-    return tree, tree.predictions(cells, counts)
 
+def weigh(cells: np.ndarray, counts: np.ndarray, top: int, depth: int, below: np.ndarray | None = None, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each cell: log10 of the byte's probability; for each bit the log weight of its node at top; for each bit what
+    the path to a node of its own at depth leaves open and has mixed. below: weights of the nodes at depth from their own
+    subtrees, for which no probability is given here (nan). entry: what the path to top leaves open and has mixed."""
+    n, byte = len(cells), (cells & U64(255)).astype(np.int64)
+    said, up, left = np.zeros(n), np.zeros((n, 8)), np.zeros((n, 8, 2))
+    tree = levels(cells, counts, top, depth) if n else []
+    last = np.full(n, -1)
+    for k, level in enumerate(tree):
+        last[level[2] >= 0] = k
+    for bit in range(8):
+        groups, firsts, parents, sums = [], [], [], []
+        for k, (names, one, _, count) in enumerate(tree):
+            first = runs(names >> (8 - bit))
+            ones = np.add.reduceat(np.where(names >> (7 - bit) & 1, count, 0.0), first)
+            parents.append(groups[-1][tree[k - 1][2][one[first]]] if k else None)
+            groups.append(numbered(first, len(names)))
+            firsts.append(one[first])
+            sums.append((np.add.reduceat(count, first) - ones, ones))
+        held = [None] * len(tree)
+        whole = None
+        for k in range(len(tree) - 1, -1, -1):
+            own = kt(*sums[k])
+            under = np.zeros(len(own)) if whole is None else np.bincount(parents[k + 1], weights=whole, minlength=len(own))
+            split = np.zeros(len(own), dtype=bool) if whole is None else np.bincount(parents[k + 1], minlength=len(own)) > 0
+            held[k] = np.where(split, 1.0 / (1.0 + np.exp(np.clip(under - own, -700, 700))), 1.0)
+            whole = np.where(split, np.logaddexp(own, under) - np.log(2.0), own)
+            if below is not None and top + k == depth:
+                whole = np.where(tree[k][0][runs(tree[k][0] >> (8 - bit))] >> 8 & 1, whole, below[firsts[k], bit])
+        share = mixed = None
+        for k, (names, _, where, _) in enumerate(tree):
+            if k:
+                share, mixed = share[parents[k]], mixed[parents[k]]
+            else:
+                share, mixed = (np.ones(len(firsts[0])), np.zeros(len(firsts[0]))) if entry is None else entry[firsts[0], bit].T.astype(float)
+                rows = np.flatnonzero(where >= 0)
+                up[rows, bit] = whole[groups[0][where[rows]]]
+            at = np.flatnonzero(last == k)
+            group = groups[k][where[at]]
+            left[at, bit, 0], left[at, bit, 1] = share[group], mixed[group]
+            zeros, ones = sums[k]
+            mixed = mixed + share * held[k] * (ones + 0.5) / (zeros + ones + 1.0)
+            share = share * (1 - held[k])
+            p = np.clip(mixed[group], 1e-12, 1 - 1e-12)
+            said[at] += np.log10(np.where(byte[at] >> (7 - bit) & 1, p, 1 - p))
+    said[last < 0] = np.nan
+    if below is not None and tree:
+        deep = np.flatnonzero(top + last == depth)
+        said[deep[tree[-1][0][tree[-1][2][deep]] >> 8 & 1 == 0]] = np.nan
+    return said, up, left
+
+
+def cells_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each byte to code, and the text of each."""
+    data, at, which = streams(texts)
+    out = np.zeros(len(at), dtype=U64)
+    for d in range(1, DEPTH + 1):
+        out = out << U64(8) | data[at - d]
+    return out << U64(8) | data[at], which
+
+
+def short(cells: np.ndarray) -> np.ndarray:
+    """The cells with TOP bytes of context."""
+    return cells >> U64(8 * (DEPTH - TOP) + 8) << U64(8) | cells & U64(255)
+
+
+def shard_of(cells: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(cells >> U64(8 * (DEPTH - TOP) + 8)) % U64(shards)).astype(np.int64)
+
+
+def in_pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in lists of about SLICE bytes, with the number of the first."""
+    base = 0
+    for some in pieces(texts, SLICE):
+        yield base, some
+        base += len(some)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def cell_slices(docs: DataFrame, shards: int) -> DataFrame:
+    """For each slice of documents a row with its texts (shard -1), and for each shard its distinct cells and their counts
+    in training texts."""
+    arrow_batches(docs.sparkSession)
 
-def score(docs: DataFrame, tree: Tree, log_p: np.ndarray) -> DataFrame:
-    """The frame without text, with score and n_bytes (ends included)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((tree.step, tree.parent, tree.split, log_p))
-    arrow_batches(spark)
+    def rows(ids: list, keys: list, texts: list[bytes], held: list) -> Iterator[pa.RecordBatch]:
+        learn, found = ~np.array(held, dtype=bool), []
+        for base, some in in_pieces(texts):
+            cells, which = cells_of(some)
+            names, place = np.unique(cells, return_inverse=True)
+            found.append((names, np.bincount(place, weights=learn[base + which], minlength=len(names))))
+        names, place = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([c for _, c in found]), minlength=len(names)).astype(np.int64)
+        shard = shard_of(names, shards)
+        order = np.argsort(shard, kind="stable")
+        names, counts, shard = names[order], counts[order], shard[order]
+        cuts = np.append(runs(shard), len(shard))
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        slice_ = uuid.uuid4().int >> 65
+        none = [None] * len(spans)
+        columns = (
+            [slice_] * (len(spans) + 1), [-1, *(int(shard[a]) for a, _ in spans)], [ids, *none], [keys, *none], [held, *none],
+            [packed(np.frombuffer(b"".join(texts), np.uint8)), *(packed(names[a:b]) for a, b in spans)], [packed(sizes), *(packed(counts[a:b]) for a, b in spans)],
+        )
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["slice", "shard", "ids", "keys", "held", "body", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table_ = Tree(*shared.value[:3]), shared.value[3].reshape(-1)
+        held, size = ([], [], [], []), 0
         for piece in in_slices(batches):
-            data, at, which = streams(as_bytes(piece.column("text")))
-            said = table_[own.leaf(data, at).astype(np.int64) * 256 + data[at]]
-            keep = [n for n in piece.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in keep), pa.array(np.bincount(which, weights=said, minlength=piece.num_rows)), pa.array(np.bincount(which, minlength=piece.num_rows).astype(np.int64))], names=[*keep, "score", "n_bytes"])
+            texts = [t or b"" for t in as_bytes(piece.column("text"))]
+            for own, more in zip(held, (piece.column("doc_id").to_pylist(), piece.column("text_key").to_pylist(), texts, piece.column("held_out").to_pylist()), strict=True):
+                own.extend(more)
+            size += sum(map(len, texts))
+            if size >= CELL_SLICE:
+                yield from rows(*held)
+                held, size = ([], [], [], []), 0
+        if held[0]:
+            yield from rows(*held)
+
+    return docs.select("doc_id", "text_key", "text", "held_out").mapInArrow(run, "slice bigint, shard bigint, ids array<bigint>, keys array<bigint>, held array<boolean>, body binary, sizes binary")
+
+
+def merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The cells of a shard in order, their counts, and those of each row."""
+    own = [unpacked(x, U64) for x in pdf["body"]]
+    names, place = np.unique(np.concatenate(own), return_inverse=True)
+    counts = np.bincount(place, weights=np.concatenate([unpacked(x, np.int64) for x in pdf["sizes"]]), minlength=len(names))
+    return names, counts, np.split(place, np.cumsum([len(x) for x in own])[:-1])
+
+
+def tree_scores(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, held_out, score and n_bytes (ends included)."""
+    spark = docs.sparkSession
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    slices = written(cell_slices(docs, shards))
+    dealt = slices.filter("shard >= 0").select("slice", "shard", "body", "sizes")
+
+    def upwards(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells, counts, _ = merged(pdf)
+        _, up, _ = weigh(cells, counts, TOP, DEPTH)
+        names, one, place = np.unique(short(cells), return_index=True, return_inverse=True)
+        return pd.DataFrame([{"cells": packed(names), "counts": packed(np.bincount(place, weights=counts, minlength=len(names))), "up": packed(up[one].reshape(-1))}])
+
+    tops = dealt.groupBy("shard").applyInPandas(upwards, "cells binary, counts binary, up binary").collect()  # contexts of TOP bytes
+    cells, counts, up = (np.concatenate([np.zeros(0, t), *(unpacked(r[k], t) for r in tops)]) for k, t in enumerate((U64, float, float)))
+    order = np.argsort(cells)
+    cells, counts, up = cells[order], counts[order], up.reshape(-1, 8)[order]
+    said, _, left = weigh(cells, counts, 0, TOP, below=up)
+    shared = spark.sparkContext.broadcast((cells, said, left))
+
+    def downwards(pdf: pd.DataFrame) -> pd.DataFrame:
+        tops, known, entry = shared.value
+        cells, counts, own = merged(pdf)
+        place = np.searchsorted(tops, short(cells))
+        said, _, _ = weigh(cells, counts, TOP, DEPTH, entry=entry[place])
+        said = np.where(np.isnan(said), known[place], said).astype(np.float32)
+        return pd.DataFrame({"slice": pdf["slice"], "shard": pdf["shard"], "said": [packed(said[x]) for x in own]})
+
+    def sums(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        known = [unpacked(x, np.float32) for x in parts.sort_values("shard")["said"]]
+        for _, s in own.iterrows():
+            data, ends = unpacked(s["body"], np.uint8).tobytes(), np.cumsum(unpacked(s["sizes"], np.int64)).tolist()
+            texts = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            found = []
+            for base, some in in_pieces(texts):
+                cells, which = cells_of(some)
+                found.append((base, which.astype(np.int32), *np.unique(cells, return_inverse=True)))
+            names = np.unique(np.concatenate([f[2] for f in found]))
+            said = np.empty(len(names), dtype=np.float32)
+            said[np.argsort(shard_of(names, shards), kind="stable")] = np.concatenate(known)
+            score, n_bytes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+            for base, which, own_names, place in found:
+                n = int(which[-1]) + 1
+                score[base : base + n] = np.bincount(which, weights=said[np.searchsorted(names, own_names)][place], minlength=n)
+                n_bytes[base : base + n] = np.bincount(which, minlength=n)
+            out.append(pd.DataFrame({"doc_id": pd.array(s["ids"], dtype="Int64"), "text_key": s["keys"], "held_out": s["held"], "score": score, "n_bytes": n_bytes}))
+        return pd.concat(out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, schema + ", score double, n_bytes bigint")
+    told = dealt.groupBy("shard").applyInPandas(downwards, "slice bigint, shard bigint, said binary")
+    bodies = slices.filter("shard < 0").select("slice", "ids", "keys", "held", "body", "sizes")
+    return bodies.groupBy("slice").cogroup(told.groupBy("slice")).applyInPandas(sums, "doc_id bigint, text_key bigint, held_out boolean, score double, n_bytes bigint")
 
 
 def word_slices(docs: DataFrame) -> DataFrame:
@@ -309,7 +496,7 @@ def lm_score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     """All texts scored by the unigram base and by the tree learnt outside one fold of the ids."""
     df = pick(docs, doc_id="bigint", text="string").withColumn("held_out", fold(F.col("doc_id"), mod) == held).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     base = base_scores(df).dropDuplicates(["doc_id", "text_key"])
-    scored = score(df, *train(df, mod, held))
+    scored = tree_scores(df)
     same = scored["doc_id"].eqNullSafe(base["doc_id"]) & (scored["text_key"] == base["text_key"])
     return scored.join(base, same).select(scored["doc_id"], "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", (-F.col("score") * F.lit(3.321928094887362) / F.col("n_bytes")).alias("bits_per_byte"))
 

@@ -299,6 +299,21 @@ def test_context_tree_is_a_distribution_and_exact():
     assert np.allclose(context_tree.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-8)
 
 
+def test_context_tree_is_the_tree_of_all_training_texts(spark, folder, rows):
+    """Scores equal those of the tree in memory that splits whatever occurs twice."""
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    learnt = [(t or "").encode() for k, t, *_ in rows if fold(k, 7) != 2]
+    tree = context_tree.Tree.choose(learnt, depth=6, splits=1 << 40)
+    coded = lambda some: (lambda data, at, which: (tree.leaf(data, at, 6).astype(np.int64) * 256 + data[at], which))(*context_tree.streams(some, 6))
+    log_p = tree.predictions(*np.unique(coded(learnt)[0], return_counts=True)).reshape(-1)
+    cells, which = coded(texts)
+    wanted = collections.defaultdict(list)
+    for (k, *_), score in zip(rows, np.bincount(which, weights=log_p[cells], minlength=len(texts)), strict=True):
+        wanted[k].append(score)
+    for k, own in got(spark, "op10_context_tree", folder).items():
+        assert np.allclose(sorted(r.score for r in own), sorted(wanted[k]), rtol=1e-5, atol=1e-4), k
+
+
 def smith_waterman(a, b):
     best, row = 0, [0] * (len(b) + 1)
     for x in a:
