@@ -314,6 +314,17 @@ def test_context_tree_is_the_tree_of_all_training_texts(spark, folder, rows):
         assert np.allclose(sorted(r.score for r in own), sorted(wanted[k]), rtol=1e-5, atol=1e-4), k
 
 
+def test_context_tree_learns_from_long_texts(spark, written_documents):
+    """Contexts that only one long training text holds are split too."""
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(200))
+    learnt, held = ([k for k in range(2000) if (fold(k, 7) == 2) == is_held] for is_held in (False, True))
+    rows = [(k, "".join(rng.choice("mnop ") for _ in range(300))) for k in learnt[1:60]] + [(learnt[0], passage * 400), (held[0], passage * 3)]
+    found = {r.doc_id: r for r in context_tree.lm_score(spark.read.parquet(f"{written_documents(rows)}/documents.parquet")).collect()}
+    assert found[held[0]].held_out
+    assert found[held[0]].bits_per_byte < 0.5
+
+
 def smith_waterman(a, b):
     best, row = 0, [0] * (len(b) + 1)
     for x in a:
