@@ -69,12 +69,12 @@ def _items(spark, sf_dir):
     return df.select("doc_id", "seq", *(F.col(f"x_{n}").alias(n) for n in ITEM_COLUMNS), F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end")).alias("charspan"))
 
 
-def _conversation_chunks(spark, sf_dir):
+def _conversation_chunks(spark, sf_dir, whole: bool = False):
     """Turns as chunks: systems are headers, every fifth turn is a footnote, and pages change every third turn."""
     df = _table(spark, sf_dir, "conversations")
     label = F.when(F.col("role") == "system", "section_header").when(F.col("turn") % 5 == 4, "footnote").otherwise("text")
     meta = F.create_map(F.lit("page_#"), F.expr("cast(floor(turn / 3) AS INT) + 1").cast("string"))
-    return df.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("section_no"), F.col("turn").cast("int").alias("seq"), F.substring("text", 1, 60).alias("text"), label.alias("label"), meta.alias("meta"))
+    return df.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("section_no"), F.col("turn").cast("int").alias("seq"), (F.col("text") if whole else F.substring("text", 1, 60)).alias("text"), label.alias("label"), meta.alias("meta"))
 
 
 def _lexicon(spark, sf_dir):
@@ -313,6 +313,34 @@ def debug_meta(spark, sf_dir):
     return sinks.meta_lines(P.paragraphs(_conversation_chunks(spark, sf_dir), clean=False)).drop("section_no")
 
 
+# The SQL of the queries above is of the first 60 characters of a turn. These are the same over whole turns.
+
+
+def _whole(name: str) -> str:
+    return ORACLE[name].replace("substr(text, 1, 60)", "text")
+
+
+@_query(_whole("section_attribution"))
+def whole_section_attribution(spark, sf_dir):
+    return P.flat(P.paragraphs(_conversation_chunks(spark, sf_dir, whole=True), clean=False)).drop("section_no")
+
+
+@_query(_whole("context_lookup"))
+def whole_context_lookup(spark, sf_dir):
+    chunks = _conversation_chunks(spark, sf_dir, whole=True)
+    return P.with_context(P.paragraphs(chunks, clean=False), P.page_contexts(chunks)).select("doc_id", "para_no", "page", "context")
+
+
+@_query(_whole("page_contexts"))
+def whole_page_contexts(spark, sf_dir):
+    return P.page_contexts(_conversation_chunks(spark, sf_dir, whole=True)).drop("section_no")
+
+
+@_query(_whole("debug_meta"))
+def whole_debug_meta(spark, sf_dir):
+    return sinks.meta_lines(P.paragraphs(_conversation_chunks(spark, sf_dir, whole=True), clean=False)).drop("section_no")
+
+
 # ---- layout ----
 
 _ITEMS = f"items AS (SELECT doc_id, seq, {', '.join(f'{e} AS {n}' for n, e in ITEM_COLUMNS.items())}, length(text) AS span FROM ({{lines}}))".replace("{lines}", f"WITH {LINES} SELECT * FROM lines").replace("seq / 6", "seq / 6.0")
