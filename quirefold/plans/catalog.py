@@ -45,6 +45,7 @@ SPOILT = (
 SOFT = "replace(replace(text, 'en', 'e­ n'), 'er', 'e­r')"
 LINES = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS seq FROM documents)"""
 CAPITALS = "upper(replace(substr(text, 1, 60), 'ß', 'ss'))"
+WHOLE_CAPITALS = CAPITALS.replace("substr(text, 1, 60)", "text")
 ITEM_COLUMNS = {
     "item_kind": "CASE WHEN seq % 13 = 12 THEN 'other' ELSE 'text' END",
     "label": "CASE seq % 11 WHEN 0 THEN 'page_header' WHEN 4 THEN 'section_header' WHEN 7 THEN 'footnote' WHEN 9 THEN 'list_item' WHEN 10 THEN 'page_footer' ELSE 'text' END",
@@ -170,6 +171,7 @@ _function("quotes", T.straight_quotes, _sql_translate("text", T.CURLY_QUOTES))
 _function("whitespace", T.one_space, _sql_space("text"))
 _function("dashes", T.plain_dashes, _sql_translate("text", T.DASHES), "replace(replace(text, ' de ', ' — '), ' the ', '–')")
 _function("title_case", T.title_case, _sql_title("text").replace("{", "{{").replace("}", "}}"), CAPITALS)
+_function("whole_title_case", T.title_case, _sql_title("text").replace("{", "{{").replace("}", "}}"), WHOLE_CAPITALS)
 _function("normal_lines", T.normal_line, "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')", "replace(text, 'ß', 'ss')")
 _function("printable_length", lambda c: T.printable_length(c).cast("bigint"), r"length(regexp_replace(text, '[\p{{C}}\p{{Zl}}\p{{Zp}}\x{{A0}}]', '', 'g'))::BIGINT", "concat(text, '­ ')")
 _function("speech_segments", lambda c: F.size(T.speech_segments(c)).cast("bigint"), r"len(list_filter(regexp_split_to_array(text, '\n+'), lambda s: trim(s) <> ''))::BIGINT", "text")
@@ -201,6 +203,12 @@ def enhanced_titles(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.enhance_title(text).alias("title"))
 
 
+@_query(ORACLE["enhanced_titles"].replace(CAPITALS, WHOLE_CAPITALS))
+def whole_enhanced_titles(spark, sf_dir):
+    text = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("IV ")).otherwise(F.lit("")), F.expr(WHOLE_CAPITALS), F.lit(" X'S"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.enhance_title(text).alias("title"))
+
+
 @_query(f"WITH {LINES} SELECT doc_id, {_sql_join('text', 'seq')} AS text FROM lines GROUP BY doc_id")
 def build_paragraph(spark, sf_dir):
     lines = _lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("p"))
@@ -228,6 +236,15 @@ def restore_list_prefix(spark, sf_dir):
     return df.select("doc_id", T.restore_list_prefix(F.col("o"), F.col("c")).alias("text"))
 
 
+_WHOLE_PREFIXED, _WHOLE_UNPREFIXED = _PREFIXED.replace("substr(text, 1, 40)", "text"), _UNPREFIXED.replace("substr(text, 1, 38)", "text")
+
+
+@_query(ORACLE["restore_list_prefix"].replace(_PREFIXED, _WHOLE_PREFIXED).replace(_UNPREFIXED, _WHOLE_UNPREFIXED))
+def whole_restore_list_prefix(spark, sf_dir):
+    df = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_WHOLE_PREFIXED).alias("o"), F.expr(_WHOLE_UNPREFIXED).alias("c"))
+    return df.select("doc_id", T.restore_list_prefix(F.col("o"), F.col("c")).alias("text"))
+
+
 @_query(r"""SELECT doc_id, n > 0 AND abs(length(c) - n) / n > 0.10 AS refused FROM (SELECT doc_id, length(regexp_replace(text, '[\p{C}]', '', 'g')) AS n, substr(text, 1, (length(text) * (80 + doc_id % 30) / 100)::INT) AS c FROM
 (SELECT doc_id, text FROM documents))""".replace("(length(text) * (80 + doc_id % 30) / 100)::INT", "cast(floor(length(text) * (80 + doc_id % 30) / 100) AS INT)"))
 def size_guard(spark, sf_dir):

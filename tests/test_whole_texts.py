@@ -15,6 +15,8 @@ def folder(spark, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("whole"))
     rows = [(c, t, "system" if t == 3 * c else "user", said(t)) for c in (1, 2) for t in range(12)]
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{out}/conversations.parquet")
+    docs = [(k, "\n".join(f"line {n} of some words, more than sixty characters in all of them" for n in range(k + 3))) for k in range(1, 9)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{out}/documents.parquet")
     return out
 
 
@@ -30,3 +32,12 @@ def test_turns_are_whole(spark, folder):
     assert {r.context for r in catalog.QUERIES["whole_context_lookup"](spark, folder).collect()} - {""} <= {*contexts.values()}
     lines = [r.line for r in catalog.QUERIES["whole_debug_meta"](spark, folder).collect()]
     assert sorted(x.split("]\n", 1)[1] for x in lines) == sorted(f"{text}\n" for _, _, text, _ in wanted)
+
+
+def test_documents_are_whole(spark, folder):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    result = lambda name: {r[0]: r[1] for r in catalog.QUERIES[name](spark, folder).collect()}
+    assert result("whole_title_case") == {k: t.title() for k, t in texts.items()}
+    assert result("whole_enhanced_titles") == {k: "IV " * (k % 3 == 0) + t.title() + " X's" for k, t in texts.items()}
+    prefix = {0: "({}) ", 1: "{}. ", 2: "{}) ", 3: ""}
+    assert result("whole_restore_list_prefix") == {k: ("7. " if k % 8 == 0 else prefix[k % 4].format(k % 30)) + t for k, t in texts.items()}
