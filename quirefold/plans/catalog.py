@@ -225,6 +225,16 @@ def coerce_class(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(T.coerce_class(label), F.lit("none")).alias("class"))
 
 
+@_query(rf"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n]+'), lambda w: regexp_matches(w, '{T.ROMAN}')))::BIGINT AS numerals FROM documents")
+def word_numerals(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.size(F.filter(F.split("text", r"[ \t\n]+"), T.is_roman)).cast("bigint").alias("numerals"))
+
+
+@_query(f"WITH {LINES} " + ORACLE["coerce_class"].split(" FROM (")[0].replace("SELECT doc_id,", "SELECT doc_id, seq,") + " FROM (SELECT doc_id, seq, lower(text) AS l FROM lines)")
+def line_classes(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "seq", F.coalesce(T.coerce_class(F.col("text")), F.lit("none")).alias("class"))
+
+
 _PREFIXED = "CASE doc_id % 4 WHEN 0 THEN '(' || (doc_id % 30) || ') ' WHEN 1 THEN (doc_id % 30) || '. ' WHEN 2 THEN (doc_id % 30) || ') ' ELSE '' END || substr(text, 1, 40)"
 _UNPREFIXED = "CASE WHEN doc_id % 8 = 0 THEN '7. ' ELSE '' END || substr(text, 1, 38)"
 

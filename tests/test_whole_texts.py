@@ -41,3 +41,11 @@ def test_documents_are_whole(spark, folder):
     assert result("whole_enhanced_titles") == {k: "IV " * (k % 3 == 0) + t.title() + " X's" for k, t in texts.items()}
     prefix = {0: "({}) ", 1: "{}. ", 2: "{}) ", 3: ""}
     assert result("whole_restore_list_prefix") == {k: ("7. " if k % 8 == 0 else prefix[k % 4].format(k % 30)) + t for k, t in texts.items()}
+
+
+def test_numerals_and_classes_are_of_the_texts(spark, tmp_path):
+    rows = [(1, "chapter XIX of iv\nFOOTNOTE here"), (2, "no numeral\nsee the INDEX\nplain"), (3, "IIII VX dcl")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in catalog.QUERIES["word_numerals"](spark, str(tmp_path)).collect()} == {(1, 2), (2, 0), (3, 1)}
+    classes = {(r.doc_id, r.seq): r["class"] for r in catalog.QUERIES["line_classes"](spark, str(tmp_path)).collect()}
+    assert classes == {(1, 0): "none", (1, 1): "footnote", (2, 0): "none", (2, 1): "drop", (2, 2): "none", (3, 0): "none"}
