@@ -25,17 +25,21 @@ STOP_WORDS = ("a an and are as at be by for from he in is it of on or that the t
               "à au aux avec ce dans de des du elle en est et il la le les ne par pas pour que qui se sur un une "
               "al como con del el los las lo no para por se su una y "
               "als auf aus bei das dem den der die ein eine einen für im ist mit nicht sich sie und von zu").split()
-#: (metric, comparison, threshold): a text that meets any of them is rejected.
+#: (metric, comparison, threshold): a text that meets any of them is rejected. The base is a table of its own, over whole
+#: numbers, so that no rounding decides.
+BASE = (
+    ("words", "<", 10),
+    ("repeat_excess", ">", 0),
+)
 THRESHOLDS = (
-    ("words", "<", 10.0),
-    ("repeat_word_ratio", ">", 0.20),
     ("mean_word_length", "<", 1.5),
     ("mean_word_length", ">", 16.0),
     ("symbol_word_ratio", ">", 0.25),
     ("stop_word_ratio", "<", 0.02),
     ("dup_line_ratio", ">", 0.50),
 )
-BASE = 2  # the first rules are the base
+# Fixed value: per cent of the words that may stand in repeated windows.
+REPEAT_PERCENT = 20
 
 
 def _over(x: Column, y: Column) -> Column:
@@ -43,9 +47,9 @@ def _over(x: Column, y: Column) -> Column:
 
 
 def compiled(rules=THRESHOLDS) -> Column:
-    """True where no rule of the table is met."""
+    """True where no rule of the table is met; a table without rules keeps all."""
     test = {"<": lambda a, b: a < b, ">": lambda a, b: a > b}
-    return ~reduce(lambda a, b: a | b, (test[how](F.col(metric), F.lit(limit)) for metric, how, limit in rules))
+    return ~reduce(lambda a, b: a | b, (test[how](F.col(metric), F.lit(limit)) for metric, how, limit in rules), F.lit(False))
 
 
 def metrics(docs: DataFrame) -> DataFrame:
@@ -74,7 +78,8 @@ def metrics(docs: DataFrame) -> DataFrame:
     c = F.col
     return df.select(
         "*",
-        c("n_words").cast("double").alias("words"),
+        c("n_words").alias("words"),
+        (F.lit(100) * c("n_repeat_words") - F.lit(REPEAT_PERCENT) * c("n_words")).alias("repeat_excess"),
         _over(c("n_repeat_words"), c("n_words")).alias("repeat_word_ratio"),
         _over(c("word_chars"), c("n_words")).alias("mean_word_length"),
         _over(c("n_symbols"), c("n_words")).alias("symbol_word_ratio"),
@@ -83,11 +88,9 @@ def metrics(docs: DataFrame) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, rules=THRESHOLDS) -> DataFrame:
-    """Counts of each text, base_failed, and kept: the verdict of the whole table."""
-    df = metrics(docs)
-    failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules[BASE:]))
+def quality_rules(docs: DataFrame, rules=THRESHOLDS, base=BASE) -> DataFrame:
+    """Counts of each text, base_failed, and kept: the verdict of both tables, every rule of them."""
+    return metrics(docs).withColumn("base_failed", ~compiled(base)).withColumn("kept", ~F.col("base_failed") & compiled(rules))
 
 
 def query(spark, sf_dir):
@@ -96,14 +99,8 @@ def query(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop")
 
 
-_STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_METRIC_SQL = {
-    "mean_word_length": "CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END",
-    "symbol_word_ratio": "CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END",
-    "stop_word_ratio": "CASE WHEN n_words > 0 THEN n_stop::DOUBLE / n_words ELSE 0 END",
-    "dup_line_ratio": "CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END",
-}
-_RULES_SQL = " OR ".join(f"({_METRIC_SQL[m]}) {how} {limit}" for m, how, limit in THRESHOLDS[BASE:])
+# The SQL states words, ratios and limits for itself, so that a wrong constant above shows.
+_STOP_SQL = "'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'he', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'with', 'à', 'au', 'aux', 'avec', 'ce', 'dans', 'de', 'des', 'du', 'elle', 'en', 'est', 'et', 'il', 'la', 'le', 'les', 'ne', 'par', 'pas', 'pour', 'que', 'qui', 'se', 'sur', 'un', 'une', 'al', 'como', 'con', 'del', 'el', 'los', 'las', 'lo', 'no', 'para', 'por', 'su', 'y', 'als', 'auf', 'aus', 'bei', 'das', 'dem', 'den', 'der', 'die', 'ein', 'eine', 'einen', 'für', 'im', 'ist', 'mit', 'nicht', 'sich', 'sie', 'und', 'von', 'zu'"
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
@@ -120,5 +117,6 @@ r AS (SELECT doc_id, sum(adds) AS n FROM p GROUP BY doc_id),
 a AS (SELECT c.*, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT ({_RULES_SQL}) AS kept, n_lines, n_stop FROM b
+  NOT base_failed AND NOT (word_chars / n_words::DOUBLE < 1.5 OR word_chars / n_words::DOUBLE > 16.0 OR n_symbols / n_words::DOUBLE > 0.25
+    OR n_stop / n_words::DOUBLE < 0.02 OR (n_lines > 0 AND n_dup_lines / n_lines::DOUBLE > 0.5)) AS kept, n_lines, n_stop FROM b
 """
