@@ -68,22 +68,49 @@ def test_divide_skip_equals_counting(many, monkeypatch):
 
 def test_levels(spark):
     chain = [(f"n{k}", f"n{k - 1}") for k in range(300)]
-    rows = [*chain, ("a", None), ("b", "a"), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "y"), ("q", "gone")]
+    rows = [*chain, ("a", None), ("b", "a"), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "y"), ("q", "gone"), (None, "a")]
     out = {r.id: r.level for r in tool_calls.levels(spark.createDataFrame(rows, "id string, parent string")).collect()}
     assert all(out[f"n{k}"] == k for k in range(300))
     assert (out["a"], out["b"], out["q"], out["x"], out["y"], out["z"]) == (0, 1, 0, None, None, None)
 
 
+def test_levels_of_nodes_with_several_parents(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "a"), ("d", "c"), ("e", "d"), ("e", "gone"), ("x", "y"), ("y", "x"), ("z", "a"), ("z", "x")]
+    out = {r.id: r.level for r in tool_calls.levels(spark.createDataFrame(rows, "id string, parent string")).collect()}
+    assert out == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "x": None, "y": None, "z": None}
+
+
 def test_tool_calls(spark):
-    calls = [("1", 0, "a", "reply", '{"turn": 3, "text":"x", "b":{"z":1,"a":[1, 2]}}'), ("1", 1, "b", "reply", '{"turn":"3"}'), ("1", 2, "c", "nope", "{}"), ("1", 3, "d", "reply", "xx"), (None, 4, None, "configure", '{"text":"","turn":1}')]
-    results = [("1", 5, "a", "ok"), ("1", 9, "a", "late"), ("1", 6, "zz", None)]
-    out = tool_calls.link(spark.createDataFrame(calls, "conv_id string, turn int, call_id string, name string, arguments string"), spark.createDataFrame(results, "conv_id string, turn int, call_id string, content string"))
-    rows = {r.call_id: r for r in out.collect()}
-    assert rows["a"].json == '{"call":{"arguments":{"b":{"a":[1,2],"z":1},"text":"x","turn":3},"name":"reply","turn":0},"errors":[],"id":"a","result":{"content":"ok","turn":5},"valid":true}'
-    assert (rows["a"].n_results, rows["a"].result_turn) == (2, 5)
-    assert [rows[k].errors for k in ("b", "c", "zz", "")] == [["text: missing", "turn: not integer"], ["unknown tool"], ["no call"], ["text: empty"]]
+    calls = [("1", 1, "a", "reply", '{"turn": 3, "text":"x", "b":{"z":1,"a":[1, 2]}}'), ("1", 1, "b", "reply", '{"turn":"3"}'), ("1", 2, "c", "nope", "{}"), ("1", 3, "d", "reply", "xx"), (None, 4, None, "configure", '{"text":"","turn":1}'),
+             ("1", 8, "a", "reply", '{"turn": 8, "text":"again"}'), ("1", 8, "a", "reply", '{"turn": 8, "text":"again"}')]
+    results = [("1", 5, "a", "ok"), ("1", 9, "a", "late"), ("1", 6, "zz", None), (None, 7, None, "of nothing"), ("1", 1, "c", "early")]
+    out = tool_calls.link(spark.createDataFrame(calls, "conv_id string, turn int, call_id string, name string, arguments string"), spark.createDataFrame(results, "conv_id string, turn int, call_id string, content string")).collect()
+    rows = {r.call_id: r for r in out if r.call_id and not any(e.startswith("repeated") for e in r.errors)}
+    assert rows["a"].json == '{"call":{"arguments":{"b":{"a":[1,2],"z":1},"text":"x","turn":3},"name":"reply","turn":1},"errors":[],"id":"a","result":{"content":"ok","turn":5},"valid":true}'
+    assert (rows["a"].n_calls, rows["a"].n_results, rows["a"].result_turn) == (3, 2, 5)
+    assert [rows[k].errors for k in ("b", "c", "zz")] == [["text: missing", "turn: not integer"], ["unknown tool", "result before call"], ["no call"]]
     assert rows["d"].errors[0] == "not an object"
     assert rows["zz"].json == '{"call":null,"errors":["no call"],"id":"zz","result":{"content":null,"turn":6},"valid":false}'
+    again = {tuple(r.errors): r for r in out if r.call_id == "a" and not r.valid}
+    assert again["repeated call",].n_copies == 2
+    assert '"text":"again"' in again["repeated call",].json
+    assert '"content":"late"' in again["repeated result",].json
+    assert {(r.turn, r.result_turn, *r.errors) for r in out if r.call_id is None} == {(4, None, "text: too short", "turn: too large"), (None, 7, "no call")}
+
+
+def test_lost_turns_are_answered_by_nothing(spark):
+    turns = [(1, None, "user", "lost"), (1, 0, "assistant", "first"), (1, 7, "user", "late"), (1, 9, "assistant", "answer"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), ("", 0, "user", "c")]
+    calls, results, nodes = tool_calls.turns_as_calls(spark.createDataFrame([(None if c is None else str(c), *r) for c, *r in turns], "conv_id string, turn long, role string, text string"))
+    out = tool_calls.link(calls, results).collect()
+    assert {(r.conv_id, r.turn, r.result_turn) for r in out} == {("1", None, None), ("1", None, 0), ("1", 7, 9), (None, 0, None), (None, None, 1), ("", 0, None)}
+    assert {r.id: r.level for r in tool_calls.levels(nodes).collect()} == {"1:0": 0, "1:7": 1, "1:9": 2, ":0": 0}
+
+
+def test_previous_turns_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(tool_calls, "TURNS", 4)
+    there = [0, 1, 3, 9, 10, 40, 41, 42, 43, 44]
+    out = tool_calls.with_previous(spark.createDataFrame([("x", t) for t in there * 2], "conv_id string, turn long")).collect()
+    assert {r.turn: r.before for r in out} == dict(zip(there, [None, *there[:-1]], strict=True))
 
 
 @needs_data
