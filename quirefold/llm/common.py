@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python; texts are large, so batches are short.
 BATCH_ROWS = 1000
+#: And its bytes, unless one text is longer.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,12 @@ def fold(doc_id: Column, mod: int) -> Column:
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds Arrow batches by rows and by bytes, unless the session was given bounds of its own. Spark reads these when a
+    plan is run, so they belong to the session."""
+    for name, bound in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.sparkContext.getConf().get(key, None) is None:
+            spark.conf.set(key, str(bound))
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -31,10 +38,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is set only where the session names none, as in tests."""
+    """The folder that driver and executors share. A local one is set only where the session names none and all of it runs
+    in one process, as in tests; elsewhere each executor would write to a disk of its own."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", "") or (context._jsc.sc().getCheckpointDir().get() if context._jsc.sc().getCheckpointDir().isDefined() else "")
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quirefold-")
         context.setCheckpointDir(folder)
     return folder

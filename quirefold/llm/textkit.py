@@ -18,7 +18,13 @@ import pyarrow.compute as pc
 
 def _return_memory() -> None:
     """Workers are reused by later stages: arrays over a megabyte are mapped on their own, so that they go back to the
-    system when they are freed, and Arrow's batches too. Elsewhere than on glibc nothing is changed."""
+    system when they are freed, and Arrow's batches too. Only workers do this, when they cut their first batch; elsewhere
+    than on glibc nothing is changed."""
+    from pyspark import TaskContext
+
+    if _returned or TaskContext.get() is None:
+        return
+    _returned.append(True)
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
     if mallopt is not None:
         m_mmap_threshold = -3
@@ -26,7 +32,7 @@ def _return_memory() -> None:
         pa.set_memory_pool(pa.system_memory_pool())
 
 
-_return_memory()
+_returned: list[bool] = []
 
 #: Under 2**20 with the gaps, so that the power tables below have that many entries. Arrays over a slice take 8 bytes for
 #: each of its bytes, and an operator may hold a dozen of them.
@@ -125,6 +131,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that a slice holds about limit bytes of the column, or one longer text."""
+    _return_memory()
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(sizes)
     at = 0
