@@ -9,7 +9,10 @@ from quirefold.llm.common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label) for every vertex of edges (a, b): label is the least vertex that can be reached."""
+    """(v, label) for every vertex of edges (a, b): label is the least vertex that can be reached. A written table.
+
+    A label that very many vertices share is a hot key of the joins only on their left side, which adaptive execution
+    splits; the aggregates combine before they exchange."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
@@ -22,4 +25,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after
         if not changed:
             dropped(both)
-            return labels.select("v", "label")
+            out = labels.select("v", "label")
+            out._written_path = labels._written_path
+            return out

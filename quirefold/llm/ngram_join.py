@@ -10,18 +10,24 @@ between classes, and two sets link when PERCENT of their union is shared.
 2. The whole sets of the classes that are left are counted the same way, exactly; a class that shares fewer than its
    threshold T = ceil(t n) of shingles has no link. The others get the prefix of their n - T + 1 rarest shingles:
    linked sets share one of these. Classes that share a prefix shingle form candidate groups (connected components).
-3. A group within a bound of shingles is searched in one task: inverted lists over its sets, and for each set as the
-   query the T-occurrence problem by DivideSkip: the longest lists are set apart, the short ones are merged, what occurs
-   often enough there is probed in the long ones by binary search, and sets that reach the overlap are linked.
-4. A larger group is dealt in random chunks of bounded size, twice, and each chunk is searched; that connects most of it.
-   Then all sets outside the group's largest component are searched against all chunks. Every pair of sets that is not
-   already connected is searched, so components are exact; sets that are connected need not be compared again.
-
-The result is the component of each document, with its smallest doc_id. Nothing is sampled or capped.
+3. The sets of a group are put in order of size and cut into blocks of a bounded number of shingles (most groups are one
+   block). A block is searched in one task: inverted lists over its sets, and for each set as the query the T-occurrence
+   problem by DivideSkip: the longest lists are set apart, the short ones are merged by a heap, what occurs often enough
+   there is probed in the long ones by binary search, and sets that reach the overlap are linked.
+4. Where a group has several blocks, its sets are cut a second time, half a block further on and dealt anew within equal
+   sizes, and searched again: sets of like size meet, and nearly all of a group of near copies is connected. The sets
+   outside the group's largest component are then searched against each block whose sizes can link with theirs. Every
+   pair of sets that can link and is not already connected is searched, so components are exact.
+
+The result is the component of each document, with its smallest doc_id. Nothing is sampled or capped. Work is in
+proportion to the shingles of a group, but for the sets outside its largest component: those cost the blocks of their own
+sizes each. A group that falls into many components of like size therefore costs the square of its blocks.
 
 Defined results: a text without words (or null) has an empty set and is alone; fewer words than a shingle are one shingle
-of all of them; a null id counts as an id below all others and comes back null; repeated rows are copies; extra columns are
-carried by keep_one and ignored by the query; an empty table gives an empty result.
+of all of them; a null id counts as an id below all others and comes back null; repeated rows are copies, and keep_one
+keeps one of them; where one id has several texts each is judged apart; of rows with the same smallest id the one whose
+text has the smaller hash stays; rows with an empty set all stay; extra columns are carried by keep_one and ignored by
+the query; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +36,14 @@ import heapq
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import arrow_batches, dropped, pick, table, written
@@ -45,12 +54,10 @@ WORDS = 4
 PERCENT = 85
 LOWEST = -(1 << 63)
 SLICE = 950_000
-#: Shingles of the sets that one task searches; larger groups are dealt in chunks of half as many.
+#: Shingles of a block.
 UNIT = 1 << 21
 MU = 0.0085  # weight of a probe against a merge step, in the rule for how many lists are long
-#: Candidates of one query from which on the long lists are counted in one pass instead of probed for each.
-MANY = 64
-HEAP = 256  # so many entries are merged by a heap, more by merging whole runs
+TOGETHER = 32  # candidates that are probed at once
 
 
 def sets_of(texts: list[bytes | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,24 +232,13 @@ def rare_prefixes(slices: DataFrame, shards: int, percent: int) -> DataFrame:
 
 def merge_counts(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
     """Entries that stand in at least so many of the ascending lists, and how many lists hold each."""
-    if sum(map(len, lists)) <= HEAP:
-        found, counts, last, n = [], [], -1, 0
-        for x in heapq.merge(*lists):
-            if x == last:
-                n += 1
-                continue
-            if n >= least:
-                found.append(last)
-                counts.append(n)
-            last, n = x, 1
+    found, counts = [], []
+    for x, equal in groupby(heapq.merge(*(entries.tolist() for entries in lists))):
+        n = sum(1 for _ in equal)
         if n >= least:
-            found.append(last)
+            found.append(x)
             counts.append(n)
-        return np.array(found, dtype=np.int64), np.array(counts, dtype=np.int64)
-    merged = np.sort(np.concatenate(lists), kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
-    counts = np.diff(np.concatenate((first, [len(merged)])))
-    return merged[first][counts >= least], counts[counts >= least]
+    return np.array(found, dtype=np.int64), np.array(counts, dtype=np.int64)
 
 
 class Inverted:
@@ -263,9 +259,10 @@ class Inverted:
         self.low, self.high = begin[place], place  # of each shingle of each set: its list, up to the set itself
         self.first = np.concatenate(([0], np.cumsum(self.n)))
 
-    def contains(self, low: np.ndarray, high: np.ndarray, x: int) -> int:
-        """How many of the lists hold x, by binary search in all of them at once."""
-        a, b = low.copy(), high.copy()
+    def contains(self, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """In how many of the lists each x stands, by binary search for all of them in all lists at once."""
+        a, b = (np.repeat(ends[None, :], len(x), axis=0) for ends in (low, high))
+        x = x[:, None]
         while True:
             open_ = a < b
             if not open_.any():
@@ -274,8 +271,7 @@ class Inverted:
             less = open_ & (self.entries[np.minimum(mid, len(self.entries) - 1)] < x)
             a = np.where(less, mid + 1, a)
             b = np.where(open_ & ~less, mid, b)
-        inside = a < high
-        return int((self.entries[a[inside]] == x).sum())
+        return ((a < high) & (self.entries[np.minimum(a, len(self.entries) - 1)] == x)).sum(axis=1)
 
     def search(self, q: int, skip) -> Iterator[int]:
         """Earlier sets that link with set q. skip(y) is asked before each probe."""
@@ -293,16 +289,14 @@ class Inverted:
         cut = len(length) - long
         found, counts = merge_counts([self.entries[a:b] for a, b in zip(low[:cut], high[:cut], strict=True)], max(1, need - long))
         overlap = -(-self.percent * (n + self.n[found]) // (100 + self.percent))
-        able = counts + long >= overlap
-        found, counts, overlap = found[able], counts[able], overlap[able]
-        in_long = None
-        if len(found) > MANY:  # one pass over the long lists costs less than so many probes
-            entries = [self.entries[a:b] for a, b in zip(low[cut:], high[cut:], strict=True)]
-            in_long = np.bincount(np.concatenate(entries), minlength=q)[found] if entries else np.zeros(len(found), dtype=np.int64)
-        for k in np.argsort(-counts, kind="stable"):
-            y = int(found[k])
-            if not skip(y) and counts[k] + (self.contains(low[cut:], high[cut:], y) if in_long is None else in_long[k]) >= overlap[k]:
-                yield y
+        able = np.flatnonzero(counts + long >= overlap)
+        able = able[np.argsort(-counts[able], kind="stable")]
+        wanted = (k for k in able.tolist() if not skip(int(found[k])))
+        while some := list(islice(wanted, TOGETHER)):
+            held = counts[some] + self.contains(low[cut:], high[cut:], found[some])
+            for k, enough in zip(some, held >= overlap[some], strict=True):
+                if enough and not skip(int(found[k])):
+                    yield int(found[k])
 
 
 def search_unit(keys: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -336,40 +330,50 @@ def _units(df: DataFrame, unit: list[str], percent: int) -> DataFrame:
     return df.select(*unit, "key", "hashes", "label").groupBy(*unit).applyInPandas(run, "a bigint, b bigint")
 
 
-def class_links(sets: DataFrame, percent: int, unit: int = UNIT) -> DataFrame:
-    """Links between classes (a, b) that connect all that is linked. sets: key, n, hashes, prefix."""
+def _in_blocks(sets: DataFrame, unit: int, name: str, turn: int = 0) -> DataFrame:
+    """sets (g, key, n, ...) with their block: those of a group in order of size, about unit shingles to a block. Sets of one
+    size are spread over its stretch by a hash, so only sizes are sorted, not sets. turn 1 moves the cuts by half a block."""
+    sizes = sets.groupBy("g", "n").agg(F.sum("n").alias("w"))
+    before = F.sum("w").over(W.partitionBy("g").orderBy("n").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("g", "n", "w", F.coalesce(before, F.lit(0).cast("bigint")).alias("before"))
+    spread = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 20)) / F.lit(1 << 20)
+    block = F.floor((F.col("before") + spread * F.col("w") + F.lit(turn * unit // 2)) / F.lit(unit))
+    return sets.join(sizes, ["g", "n"]).withColumn(name, block).drop("w", "before")
+
+
+def class_links(sets: DataFrame, percent: int, unit: int = UNIT) -> list[DataFrame]:
+    """Written tables of links between classes (a, b) that together connect all that is linked. sets: key, n, hashes, prefix."""
     posting = sets.select("key", F.explode("prefix").alias("h"))
     hubs = posting.groupBy("h").agg(F.min("key").alias("hub"), F.max("key").alias("other")).filter("hub <> other")
     groups = components(posting.join(hubs, "h").select(F.col("key").alias("a"), F.col("hub").alias("b")))
-    members = written(sets.select("key", "n", "hashes").join(groups, F.col("key") == F.col("v")).select("key", "n", "hashes", F.col("label").alias("g")))
-    weights = members.groupBy("g").agg(F.sum("n").alias("weight"))
-    small = members.join(weights.filter(F.col("weight") <= unit), "g").withColumn("label", F.col("key"))
-    links = written(_units(small, ["g"], percent))
-    large = weights.filter(F.col("weight") > unit).withColumn("chunks", F.ceil(F.col("weight") * 2 / unit).cast("bigint"))
-    if not large.limit(1).count():
-        return links
-    parts = [links]
-    big = members.join(large.select("g", "chunks"), "g")
-    for turn in range(2):
-        dealt = big.withColumn("c", F.pmod(F.xxhash64("key", F.lit(turn)), "chunks")).withColumn("label", F.col("key"))
-        parts.append(written(_units(dealt, ["g", "c"], percent)))
-    known = components(parts[1].union(parts[2]))
-    labelled = big.join(known, F.col("key") == F.col("v"), "left").withColumn("label", F.coalesce("label", "key"))
-    labelled = written(labelled.select("g", "chunks", "key", "n", "hashes", "label"))
-    largest = labelled.groupBy("g", "label").agg(F.sum("n").alias("w")).groupBy("g").agg(F.max_by("label", F.struct("w", "label")).alias("main"))
-    rest = labelled.join(largest, "g").filter("label <> main")
-    dealt = rest.groupBy("g").agg(F.ceil(F.sum("n") * 2 / unit).cast("bigint").alias("turns"))
-    # all chunks of the group, each with every chunk of the sets outside its main component
-    targets = labelled.withColumn("c", F.pmod(F.xxhash64("key", F.lit(2)), "chunks")).join(dealt, "g").withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)))
-    asked = rest.join(dealt, "g").withColumn("t", F.pmod(F.xxhash64("key", F.lit(3)), "turns")).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    columns = ["g", "c", "t", "key", "hashes", "label"]
-    parts.append(written(_units(targets.select(columns).union(asked.select(columns)), ["g", "c", "t"], percent)))
-    dropped(members, labelled)
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-
-
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles and component (the smallest id) of each row. docs: id, text."""
+    own = sets.select("key", "n", "hashes").join(groups, F.col("key") == F.col("v")).select("key", "n", "hashes", F.col("label").alias("g"))
+    members = written(_in_blocks(own, unit, "c").withColumn("label", F.col("key")))
+    dropped(groups)
+    parts = [written(_units(members, ["g", "c"], percent))]
+    several = members.groupBy("g").agg(F.max("c").alias("last")).filter("last > 0").select("g")
+    if several.limit(1).count():
+        large = members.join(several, "g")
+        parts.append(written(_units(_in_blocks(large.drop("c"), unit, "c", turn=1), ["g", "c"], percent)))
+        known = components(parts[0].union(parts[1]))
+        labelled = large.drop("label").join(known, F.col("key") == F.col("v"), "left").select("g", "c", "key", "n", "hashes", F.coalesce("label", "key").alias("label"))
+        labelled = written(labelled)
+        dropped(known)
+        largest = labelled.groupBy("g", "label").agg(F.sum("n").alias("w")).groupBy("g").agg(F.max_by("label", F.struct("w", "label")).alias("main"))
+        rest = written(_in_blocks(labelled.drop("c").join(largest, "g").filter("label <> main").drop("main"), unit, "t"))
+        reach = lambda df, block, a, b: df.groupBy("g", block).agg(F.min("n").alias(a), F.max("n").alias(b))
+        met = reach(labelled, "c", "c_least", "c_most").join(reach(rest, "t", "t_least", "t_most"), "g")
+        met = met.filter((F.lit(100) * F.col("c_most") >= F.lit(percent) * F.col("t_least")) & (F.lit(100) * F.col("t_most") >= F.lit(percent) * F.col("c_least"))).select("g", "c", "t")
+        columns = ["g", "c", "t", "key", "hashes", "label"]
+        pairs = labelled.join(met, ["g", "c"]).select(columns).union(rest.join(met, ["g", "t"]).select(columns))
+        parts.append(written(_units(pairs, ["g", "c", "t"], percent)))
+        dropped(labelled, rest)
+    dropped(members)
+    return parts
+
+
+def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A written table with a row for each row of docs (id, text): id, text_key, n (shingles), component (the smallest id)
+    and of (the text_key of the row that stands for the component)."""
     spark = docs.sparkSession
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     shards = _shards(spark, docs)
@@ -381,12 +385,16 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     dropped(pieces)
     sets = written(rare_prefixes(slices, shards, percent))
     dropped(slices)
-    label = components(class_links(sets, percent))
+    links = class_links(sets, percent)
     dropped(sets)
+    label = components(reduce(DataFrame.union, links))
+    dropped(*links)
     named = classes.join(label, F.col("key") == F.col("v"), "left").withColumn("label", F.coalesce("label", "key"))
-    least = named.groupBy("label").agg(F.min("id").alias("component"))
-    named = named.join(least, "label").select("key", "component")
-    return rows.join(named, "key", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    least = named.groupBy("label").agg(F.min(F.struct("id", "text_key")).alias("r"))
+    named = named.join(least, "label").select("key", F.col("r.id").alias("component"), F.col("r.text_key").alias("of"))
+    out = written(rows.join(named, "key", "left").select("id", "text_key", "n", F.coalesce("component", "id").alias("component"), F.coalesce("of", "text_key").alias("of")))
+    dropped(rows, classes, label)
+    return out
 
 
 def _ids(docs: DataFrame) -> DataFrame:
@@ -394,13 +402,21 @@ def _ids(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    out = joined(_ids(table(spark, sf_dir, "documents")))
+    out = grouped(_ids(table(spark, sf_dir, "documents")))
     null = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
-    return out.select(null("id").alias("doc_id"), "n_shingles", null("component").alias("component_id"))
+    return out.select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows, with all their columns, of the smallest id of each component."""
-    key = "__ngram_join_id"
-    gone = joined(_ids(docs), words, percent).filter("id <> component").select(F.col("id").alias(key)).distinct()
-    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST))).join(gone.hint("merge"), key, "left_anti").drop(key)
+    """Of each component one row, with all its columns: the smallest id, and of its texts the one with the smaller hash. Rows
+    are told apart by id and text; of rows equal in both one stays."""
+    own, text = "__ngram_join_id", "__ngram_join_text"
+    rows = grouped(_ids(docs), words, percent).filter("n > 0").withColumnsRenamed({"id": own, "text_key": text})
+    stands = (F.col(own) == F.col("component")) & (F.col(text) == F.col("of"))
+    gone = rows.filter(~stands).select(own, text).distinct()
+    twice = rows.filter(stands).groupBy(own, text).count().filter("count > 1").select(own, text)
+    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)), text: F.xxhash64(F.col("text").cast("string"))})
+    out = keyed.join(gone.hint("merge"), [own, text], "left_anti")
+    if twice.limit(1).count():
+        out = out.join(twice, [own, text], "left_anti").unionByName(out.join(twice, [own, text], "left_semi").dropDuplicates([own, text]))
+    return out.drop(own, text)

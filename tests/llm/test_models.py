@@ -49,9 +49,9 @@ def test_perfect_hash():
         assert ((others >= -1) & (others < max(len(keys), 1))).all()
 
 
-@pytest.mark.parametrize("many", [0, 64])
-def test_divide_skip_equals_counting(many, monkeypatch):
-    monkeypatch.setattr(ngram_join, "MANY", many)
+@pytest.mark.parametrize("together", [1, 32])
+def test_divide_skip_equals_counting(together, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TOGETHER", together)
     rng = np.random.default_rng(2)
     base = rng.choice(5000, 120, replace=False).astype(np.uint64)
     sets = []

@@ -199,11 +199,14 @@ def test_multikey_sort():
     assert sorted(sorted(v) for v in groups.values()) == wanted
 
 
-def linked(rows, words=4, percent=85):
-    sets = []
-    for _, text, *_ in rows:
-        w = WORD.findall((text or "").translate(LOW))
-        sets.append(frozenset(tuple(w[k : k + words]) for k in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else []))
+def shingles(text, words):
+    w = WORD.findall((text or "").translate(LOW))
+    return frozenset(tuple(w[k : k + words]) for k in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+
+
+def component_of(rows, words=4, percent=85):
+    """The number of the first row of each row's component."""
+    sets = [shingles(r[1], words) for r in rows]
     up = list(range(len(rows)))
 
     def top(x):
@@ -215,12 +218,16 @@ def linked(rows, words=4, percent=85):
         for b in range(a):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 up[max(top(a), top(b))] = min(top(a), top(b))
-    least = {}
+    return [top(k) for k in range(len(rows))]
+
+
+def linked(rows, words=4, percent=85):
+    label, least = component_of(rows, words, percent), {}
     for k, r in enumerate(rows):
         own = -(1 << 63) if r[0] is None else r[0]
-        least[top(k)] = min(least.get(top(k), own), own)
+        least[label[k]] = min(least.get(label[k], own), own)
     null = lambda x: None if x == -(1 << 63) else x
-    return collections.Counter((r[0], len(sets[k]), null(least[top(k)])) for k, r in enumerate(rows))
+    return collections.Counter((r[0], len(shingles(r[1], words)), null(least[label[k]])) for k, r in enumerate(rows))
 
 
 @pytest.mark.parametrize("unit", [1 << 21, 600])
@@ -238,8 +245,8 @@ def test_ngram_join_of_near_copies(spark, written_documents, unit, monkeypatch):
     words = [f"w{k}" for k in range(500)]
     base = [rng.choice(words) for _ in range(60)]
     rows = []
-    for k in range(120):
-        cut = list(base)
+    for k in range(120):  # of several sizes, so that the blocks differ
+        cut = base[: rng.choice((45, 52, 60))]
         for _ in range(rng.randint(0, 3)):
             cut[rng.randrange(len(cut))] = rng.choice(words)
         rows.append((k, " ".join(cut)))
@@ -252,13 +259,37 @@ def test_ngram_join_of_near_copies(spark, written_documents, unit, monkeypatch):
     assert found == linked(rows)
 
 
-def test_keep_one(spark, folder):
+def kept_by_hand(rows, words, percent):
+    """How many rows of each (id, text) stay: one for a component, all without words."""
+    from collections import Counter
+
+    solid = [r for r in rows if WORD.search(r[1] or "")]
+    groups = collections.defaultdict(list)
+    for r, label in zip(solid, component_of(solid, words, percent), strict=True):
+        groups[label].append(r)
+    return len(groups) + len(rows) - len(solid), [Counter((r[0], r[1]) for r in g) for g in groups.values()]
+
+
+def test_keep_one(spark, folder, rows):
     df = spark.read.parquet(f"{folder}/documents.parquet")
     out = ngram_join.keep_one(df, 5, 80)
     assert out.columns == df.columns
-    ids = {r.doc_id for r in out.collect()}
-    assert {None, 10} <= ids  # a null id is below all others
-    assert not {0, 1, 11} & ids
+    found = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    n, groups = kept_by_hand(rows, 5, 80)
+    assert sum(found.values()) == n
+    for g in groups:
+        assert sum(found[k] for k in g) == 1
+        low = lambda k: -(1 << 63) if k is None else k
+        assert low(next(k for k in g if found[k])[0]) == min(low(k[0]) for k in g)
+
+
+def test_keep_one_decides_by_row(spark):
+    """Repeated rows of one id, copies without an id, and an id with two texts of which one is a copy."""
+    words = [f"w{k}" for k in range(200)]
+    a, b, c, d = (" ".join(words[k : k + 40]) for k in (0, 40, 80, 120))
+    rows = [(1, a, 0), (1, a, 1), (1, a, 2), (None, b, 3), (None, b, 4), (7, b, 5), (5, c, 6), (6, c, 7), (6, d, 8), (None, None, 9), (None, None, 10), (9, "", 11), (9, "", 12)]
+    out = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, id int"), 5, 80).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter([(1, a), (None, b), (5, c), (6, d), (None, None), (None, None), (9, ""), (9, "")])
 
 
 def test_context_tree(spark, folder, rows):
