@@ -2,18 +2,23 @@
 
 Words are the runs outside 0x20 and 0x09-0x0D, with A-Z lower-cased. The seeds of an item are its word 3-grams that are
 rare: the product of their words' shares of the corpus is at most RARE (shares are counted over all documents, for the
-words of the items only); an item has its FEWEST rarest 3-grams as seeds in any case. Where a seed stands in a document,
+words of the items only); an item has its FEWEST rarest 3-grams as seeds in any case, and the rarest one of each RUN words
+in a row, so no verbatim run of that length is without a seed. Where a seed stands in a document,
 the passage around it, as long as the item and half as long again at each side, is aligned with the item word by word:
 MATCH for equal words, MISMATCH and GAP for edits. The score is the best local alignment over that of the item with
-itself, so 1 is an exact copy; a pair is reported from THRESHOLD on. Rarity comes from words, not from how often the 3-gram stands in
-the corpus, so an item that was copied often does not hide itself.
+itself, so 1 is an exact copy. A pair is reported if the score reaches THRESHOLD, or if RUN words in a row are the item's,
+however long the item is. Rarity comes from words, not from how often the 3-gram stands in the corpus, so an item that was
+copied often does not hide itself.
+
+An item of one or two words has one seed, all of it, and is reported wherever its words stand in a row.
 
 The items are the stated query set: they go to the workers in blocks of BLOCK_WORDS words, each block in a pass of
 its own over all documents, so what is sent is bounded for any number of items.
 
-Defined results: null or empty texts hold nothing; items of fewer than three words have no seed and are never reported;
-repeated items and documents are each reported; of equal alignments the first is reported; extra columns are ignored by
-leaks and carried by keep_clean; empty tables give no pairs.
+Defined results: null or empty texts and items hold nothing and are never reported; repeated items and documents are each
+reported; null ids stay null; of equal alignments the first is reported; a text of any length is searched whole, in
+passages of bounded length; extra columns are ignored by leaks and carried by keep_clean, whatever their names; empty
+tables give no pairs, and keep_clean without items keeps all rows.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ RARE = 1e-9
 FEWEST = 12
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
+RUN = 16
 BLOCK_WORDS = 1 << 20
 TOGETHER = 64  # alignments that are computed at once
 
@@ -49,27 +55,12 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return span_hashes(prefix_sums(data), left, right), which, left - starts[which], right - starts[which], first
 
 
-class Seeds:
-    """Rare 3-grams of a block of items, in order of hash, with the item and the place of each."""
+class Table:
+    """Grams in order of hash, with the item and the place in it of each."""
 
-    def __init__(self, ids: list[int], texts: list[bytes | None], shares: dict[int, float]):
-        words, which, _, _, first = word_hashes(texts)
-        self.ids = ids
-        self.items = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        grams = gram_hashes(words, N)
-        inside = which[: len(grams)] == which[N - 1 :] if len(grams) else np.zeros(0, dtype=bool)
-        logs = np.log(np.array([max(shares.get(int(w), 0.0), 1e-300) for w in words])) if len(words) else np.zeros(0)
-        chance = sum(logs[k : k + len(grams)] for k in range(N)) if len(grams) else np.zeros(0)
-        keep = np.zeros(len(grams), dtype=bool)
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            own = np.arange(a, max(a, b - N + 1))
-            rank = np.empty(len(own), dtype=np.int64)
-            rank[np.argsort(chance[own], kind="stable")] = np.arange(len(own))
-            keep[own] = (chance[own] <= np.log(RARE)) | (rank < FEWEST)
-        keep &= inside
-        order = np.argsort(grams[keep], kind="stable")
-        self.grams, self.item = grams[keep][order], which[: len(grams)][keep][order]
-        self.place = (np.arange(len(grams)) - first[which[: len(grams)]])[keep][order]
+    def __init__(self, grams: np.ndarray, item: np.ndarray, place: np.ndarray):
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.item, self.place = grams[order], item[order], place[order]
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[self.grams >> U64(42)] = True
 
@@ -82,9 +73,40 @@ class Seeds:
         return np.repeat(at, n), np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Smith-Waterman of each item with its passage, all at once along antidiagonals: best score, and first and last
-    aligned word of the passage."""
+class Seeds:
+    """Rare grams of a block of items: tables by the number of words, N and, for shorter items, all their words."""
+
+    def __init__(self, ids: list[int], texts: list[bytes | None], shares: dict[int, float]):
+        words, which, _, _, first = word_hashes(texts)
+        self.ids = ids
+        self.items = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        seen = np.array([shares.get(int(w), 0.0) for w in words])
+        logs = np.log(np.maximum(seen, 1e-300)) if len(words) else np.zeros(0)
+        grams = gram_hashes(words, N)
+        chance = sum(logs[k : k + len(grams)] for k in range(N)) if len(grams) else np.zeros(0)
+        known = np.array([seen[k : k + N].all() for k in range(len(grams))], dtype=bool)  # others stand in no document
+        keep = np.zeros(len(grams), dtype=bool)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            own = np.arange(a, max(a, b - N + 1))
+            rank = np.empty(len(own), dtype=np.int64)
+            rank[np.argsort(np.where(known[own], chance[own], np.inf), kind="stable")] = np.arange(len(own))
+            keep[own] = (chance[own] <= np.log(RARE)) | (rank < FEWEST)
+            for k in range(len(own) - (RUN - N)):  # the rarest of each run of RUN words
+                keep[own[k + int(chance[own[k : k + RUN - N + 1]].argmin())]] = True
+        keep &= known
+        at = np.flatnonzero(keep)
+        self.tables = {N: Table(grams[at], which[at], at - first[which[at]])} if len(at) else {}
+        sizes = np.diff(first)
+        for n in range(1, N):
+            short = np.flatnonzero(sizes == n)
+            if len(short):
+                whole = np.array([gram_hashes(self.items[k], n)[0] for k in short], dtype=np.uint64)
+                self.tables[n] = Table(whole, short, np.zeros(len(short), dtype=np.int64))
+
+
+def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Smith-Waterman of each item with its passage, all at once along antidiagonals: best score, first and last aligned
+    word of the passage, and the most words in a row that both have."""
     k, m, w = len(items), max(map(len, items)), max(map(len, passages))
     x, y = np.zeros((k, m), dtype=np.uint64), np.zeros((k, w), dtype=np.uint64)
     in_x, in_y = np.zeros((k, m), dtype=bool), np.zeros((k, w), dtype=bool)
@@ -95,6 +117,8 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     # cell (i, j) stands at index i + 1 of antidiagonal i + j; from: first passage word of the cell's alignment
     score1, score2 = np.zeros((k, m + 1), dtype=np.int32), np.zeros((k, m + 1), dtype=np.int32)
     from1, from2 = np.zeros((k, m + 1), dtype=np.int32), np.zeros((k, m + 1), dtype=np.int32)
+    run1, run2 = np.zeros((k, m + 1), dtype=np.int32), np.zeros((k, m + 1), dtype=np.int32)
+    longest = np.zeros(k, dtype=np.int32)
     for d in range(m + w - 1):
         lo, hi = max(0, d - w + 1), min(m, d + 1)
         i = np.arange(lo, hi)
@@ -105,31 +129,26 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
         up, left = score1[:, i] + GAP, score1[:, i + 1] + GAP
         new = np.maximum(np.maximum(slant, 0), np.maximum(up, left))
         origin = np.where(new == slant, slant_from, np.where(new == up, from1[:, i], from1[:, i + 1]))
-        score, source = np.zeros_like(score1), np.zeros_like(from1)
+        score, source, run = np.zeros_like(score1), np.zeros_like(from1), np.zeros_like(run1)
+        run[:, i + 1] = (run2[:, i] + 1) * equal
+        np.maximum(longest, run.max(axis=1), out=longest)
         score[:, i + 1] = new * (in_x[:, i] & in_y[:, j])
         source[:, i + 1] = origin
         top = score[:, i + 1].argmax(axis=1)
         value = score[np.arange(k), i[top] + 1]
         better = value > best
         best[better], start[better], end[better] = value[better], source[np.arange(k), i[top] + 1][better], j[top][better]
-        score1, score2, from1, from2 = score, score1, source, from1
-    return best, start, end
+        score1, score2, from1, from2, run1, run2 = score, score1, source, from1, run, run1
+    return best, start, end, longest
 
 
-def find(texts: list[bytes | None], seeds: Seeds, threshold: float) -> list[tuple[int, int, float, int, int]]:
-    """(text, item, score, start byte, end byte) of the best alignment of each pair that reaches the threshold."""
-    words, which, left, right, first = word_hashes(texts)
-    grams = gram_hashes(words, N)
-    at, seed = seeds.hits(grams)
-    inside = which[at] == which[at + N - 1] if len(at) else np.zeros(0, dtype=bool)
-    at, seed = at[inside], seed[inside]
-    if not len(at):
-        return []
-    text, item, begin = which[at], seeds.item[seed], at - seeds.place[seed]
-    size = np.array([len(x) for x in seeds.items], dtype=np.int64)[item]
+def passages(text: np.ndarray, item: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, item, first word and one past the last word of each passage around seeds. begin: where the item would begin.
+
+    Seeds of a pair whose items would begin within half an item of each other share a passage. A passage over six items long
+    is cut into such passages that share three: no alignment that scores is longer."""
     order = np.lexsort((begin, item, text))
     text, item, begin, size = text[order], item[order], begin[order], size[order]
-    # seeds of a pair whose items would begin within half an item of each other share a passage
     new = np.ones(len(text), dtype=bool)
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > size[1:] // 2)
     heads = np.flatnonzero(new)
@@ -138,18 +157,40 @@ def find(texts: list[bytes | None], seeds: Seeds, threshold: float) -> list[tupl
     pad = size // 2 + 2
     lo = np.maximum(begin[heads] - pad, first[text])
     hi = np.minimum(begin[tails] + size + pad, first[text + 1])
+    parts = np.maximum(1, -(-(hi - lo - 3 * size) // (3 * size)))
+    which = np.repeat(np.arange(len(lo)), parts)
+    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    a = lo[which] + k * 3 * size[which]
+    return text[which], item[which], a, np.where(k == parts[which] - 1, hi[which], np.minimum(a + 6 * size[which], hi[which]))
+
+
+def find(texts: list[bytes | None], seeds: Seeds, threshold: float, least_run: int = RUN) -> list[tuple[int, int, float, int, int, int]]:
+    """(text, item, score, run, start byte, end byte) of the best alignment of each pair that is reported."""
+    words, which, left, right, first = word_hashes(texts)
     found: dict[tuple[int, int], tuple] = {}
-    by_length = np.argsort(hi - lo, kind="stable")
-    for k in range(0, len(by_length), TOGETHER):
-        some = by_length[k : k + TOGETHER]
-        best, start, end = align([seeds.items[i] for i in item[some]], [words[a:b] for a, b in zip(lo[some], hi[some], strict=True)])
-        for n, c in enumerate(some):
-            score = float(best[n]) / (MATCH * int(size[c]))
-            key = (int(text[c]), int(item[c]))
-            a, b = int(lo[c] + start[n]), int(lo[c] + end[n])
-            if score >= threshold and (key not in found or (score, -a) > found[key][:2]):
-                found[key] = (score, -a, int(left[a]), int(right[b]))
-    return [(t, i, s, a, b) for (t, i), (s, _, a, b) in sorted(found.items())]
+    for n, table in seeds.tables.items():
+        at, seed = table.hits(gram_hashes(words, n))
+        inside = which[at] == which[at + n - 1] if len(at) else np.zeros(0, dtype=bool)
+        at, seed = at[inside], seed[inside]
+        if not len(at):
+            continue
+        if n < N:  # the seed is the item
+            pairs, one = np.unique(np.stack([which[at], table.item[seed]]), axis=1, return_index=True)
+            for (t, i), a in zip(pairs.T.tolist(), at[one].tolist(), strict=True):
+                found[t, i] = (1.0, n, -a, int(left[a]), int(right[a + n - 1]))
+            continue
+        sizes = np.array([len(x) for x in seeds.items], dtype=np.int64)
+        text, item, lo, hi = passages(which[at], table.item[seed], at - table.place[seed], sizes[table.item[seed]], first)
+        by_length = np.argsort(hi - lo, kind="stable")
+        for k in range(0, len(by_length), TOGETHER):
+            some = by_length[k : k + TOGETHER]
+            best, start, end, runs = align([seeds.items[i] for i in item[some]], [words[a:b] for a, b in zip(lo[some], hi[some], strict=True)])
+            for c, top, a, b, run in zip(some.tolist(), best.tolist(), (lo[some] + start).tolist(), (lo[some] + end).tolist(), runs.tolist(), strict=True):
+                score = top / (MATCH * int(sizes[item[c]]))
+                key = (int(text[c]), int(item[c]))
+                if (score >= threshold or run >= least_run) and (key not in found or (score, run, -a) > found[key][:3]):
+                    found[key] = (score, run, -a, int(left[a]), int(right[b]))
+    return [(t, i, s, run, a, b) for (t, i), (s, run, _, a, b) in sorted(found.items())]
 
 
 def word_shares(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, float]:
@@ -187,10 +228,10 @@ def seed_blocks(docs: DataFrame, items: DataFrame) -> Iterator[Seeds]:
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score, and start_byte and end_byte of the passage in the text."""
+    """doc_id, item_id, score, run, and start_byte and end_byte of the passage in the text."""
     texts = pick(docs, doc_id="bigint", text="string")
-    schema = "doc_id bigint, item_id bigint, score double, start_byte bigint, end_byte bigint"
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    schema = "doc_id bigint, item_id bigint, score double, run bigint, start_byte bigint, end_byte bigint"
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
 
     def one(seeds: Seeds) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(seeds)  # a block of items
@@ -199,9 +240,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
             own = shared.value
             for part in in_slices(batches):
                 ids = part.column("doc_id").to_pylist()
-                rows = [(ids[t], own.ids[i], s, a, b) for t, i, s, a, b in find(as_bytes(part.column("text")), own, threshold)]
+                rows = [(ids[t], own.ids[i], s, run, a, b) for t, i, s, run, a, b in find(as_bytes(part.column("text")), own, threshold)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "start_byte", "end_byte"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "run", "start_byte", "end_byte"])
 
         return texts.mapInArrow(run, schema)
 
