@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirefold.operators import cleaner as L
 from quirefold.operators import html_sections, layout, speech
 from quirefold.operators import paragraphs as P
 from quirefold.sources import readers, sinks
@@ -15,8 +16,12 @@ MIN_SIZE = 5
 
 
 def parse(spark: SparkSession, path: str, min_size: int = MIN_SIZE, include_footnotes: bool = False, start_page: int | None = None, end_page: int | None = None,
-          sections_to_skip: list[str] | None = None, rules=None, cleaner=None, convert=None, meta: dict[str, str] | None = None) -> DataFrame:
-    """Paragraphs of a file or of all files that a path names: doc_id, section_no, para_no, text, label, meta."""
+          sections_to_skip: list[str] | None = None, rules=None, cleaner=None, convert=None, meta: dict[str, str] | None = None, lexicon: str | None = None, llm_url: str = L.CHAT_URL) -> DataFrame:
+    """Paragraphs of a file or of all files that a path names: doc_id, section_no, para_no, text, label, meta. cleaner is an
+    operators.cleaner.Cleaner, or the name of a model that the service at llm_url serves; that needs a lexicon, the path of
+    a word list."""
+    if isinstance(cleaner, str):
+        cleaner = L.by_name(spark, cleaner, lexicon, llm_url)
     suffix = readers.is_source(path)
     if suffix == ".txt":
         return readers.text_files(spark, path).drop("path")
@@ -60,5 +65,5 @@ class Converter:
                 sinks.listing_file(sinks.paragraph_lines(out), base + "_processed_paragraphs.txt")
                 sinks.listing_file(sinks.meta_lines(out), base + "_processed_meta.txt")
         if not self.dry_run and out.limit(1).count():
-            sinks.wav_file(speech.concatenated(speech.synthesised(out, self.engine)), target)
+            sinks.wav_file(speech.in_order(speech.synthesised(out, self.engine)), target)
         return out

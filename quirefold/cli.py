@@ -8,14 +8,17 @@ from functools import partial
 from pyspark.sql import SparkSession
 
 from quirefold.api import Converter
+from quirefold.operators import cleaner as L
 from quirefold.operators import speech
 
 
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quirefold")
     p.add_argument("file_path", nargs="?")
-    for flag in ("--text", "--output-file", "--instruct", "--llm-model"):
+    for flag in ("--text", "--output-file", "--instruct", "--lexicon"):
         p.add_argument(flag)
+    p.add_argument("--llm-model", default=L.MODEL)
+    p.add_argument("--llm-url", default=L.CHAT_URL)
     for flag in ("--start-page", "--end-page"):
         p.add_argument(flag, type=int)
     for flag in ("--dry-run", "--generate-text-file", "--llm-cleaner", "--verbose"):
@@ -42,10 +45,11 @@ def main(argv: list[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     if not args.text and not args.file_path:
         raise ValueError("give a file or --text")
-    if args.llm_cleaner:
-        raise ValueError("the cleaner needs a client and a lexicon: use quirefold.api.Converter(cleaner=...)")
+    if args.llm_cleaner and not args.lexicon:
+        raise ValueError("--llm-cleaner needs --lexicon, the path of a word list")
     spark = SparkSession.builder.appName("quirefold").getOrCreate()
-    run = Converter(spark, engine(args), args.dry_run)
+    cleaning = {"cleaner": args.llm_model, "lexicon": args.lexicon, "llm_url": args.llm_url} if args.llm_cleaner else {}
+    run = Converter(spark, engine(args), args.dry_run, **cleaning)
     if args.text:
         out = run.convert(args.text, args.output_file, is_text=True)
     else:

@@ -1,40 +1,44 @@
-"""Comparing two versions of a document line by line, with tolerance for spelling variants."""
+"""Comparing two versions of a document line by line, with tolerance for spelling variants. Columns only.
 
-from __future__ import annotations
+Lines are aligned by number. Lines that are equal but for case and punctuation do not differ. Of the others those stay that
+have a word without a variant at its place in the other line. Two spellings of a word are variants if the letters that one
+has beyond the other are a fifth of all letters of both at most: the edit distance counts a changed letter once, which is
+one letter too many on each side, so of d edits and a difference in length of k the letters beyond are 2 d - k. Two swapped
+letters are two edits but only one letter on each side.
+"""
 
-import difflib
-import re
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 
-VARIANT_RATIO = 0.8
+#: The letters of both words for each that is beyond the other.
+SHARE = 5
 
 
-def only_variants(a: str, b: str, ratio: float = VARIANT_RATIO) -> bool:
-    """The lines differ by spelling variants of single words at most."""
-    x, y = a.lower().split(), b.lower().split()
-    for what, i, j, k, m in difflib.SequenceMatcher(None, x, y).get_opcodes():
-        if what == "equal":
-            continue
-        if what != "replace" or j - i != m - k:
-            return False
-        pairs = [(re.sub("[^a-z]", "", p), re.sub("[^a-z]", "", q)) for p, q in zip(x[i:j], y[k:m], strict=True)]
-        if any(p != q and difflib.SequenceMatcher(None, p, q).ratio() < ratio for p, q in pairs):
-            return False
-    return True
+def are_variants(p: Column, q: Column) -> Column:
+    """Two words in lower-case letters."""
+    both, apart = F.length(p) + F.length(q), F.abs(F.length(p) - F.length(q))
+    edits = F.levenshtein(p, q)
+    same_letters = F.array_sort(F.split(p, "")) == F.array_sort(F.split(q, ""))
+    beyond = F.when((edits == 2) & same_letters, F.lit(2)).otherwise(F.lit(2) * edits - apart)
+    return (p == q) | (F.lit(SHARE) * beyond <= both)
 
 
-def differing_lines(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Lines (doc_id, line_no, line) that one side lacks or that differ by more than letters' case, punctuation and
-    spelling variants."""
+def only_variants(a: Column, b: Column) -> Column:
+    """The lines have as many words, and each is a variant of the one at its place."""
+    words = lambda line: F.split(T.stripped(F.lower(line)), f"{T.SPACE}++")
+    letters = lambda word: F.regexp_replace(word, "[^a-z]", "")
+    pairs = F.arrays_zip(words(a).alias("p"), words(b).alias("q"))
+    return (F.size(words(a)) == F.size(words(b))) & F.forall(pairs, lambda w: are_variants(letters(w["p"]), letters(w["q"])))
 
-    @F.pandas_udf("boolean")
-    def variants(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([x is not None and y is not None and only_variants(x, y) for x, y in zip(a, b, strict=True)])
 
-    both = left.select("doc_id", "line_no", F.col("line").alias("a")).join(right.select("doc_id", "line_no", F.col("line").alias("b")), ["doc_id", "line_no"], "full_outer")
-    return both.filter(F.coalesce(T.normal_line(F.col("a")) != T.normal_line(F.col("b")), F.lit(True))).filter(~variants("a", "b"))
+def differing_lines(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Lines (doc_id, line_no, a, b) that one side lacks or that differ by more than letters' case, punctuation and
+    spelling variants."""
+    key = ["doc_id", "line_no"]
+    both = left.select(*key, F.col("line").alias("a")).join(right.select(*key, F.col("line").alias("b")), key, "full_outer")
+    differ = both.filter(F.coalesce(T.normal_line(F.col("a")) != T.normal_line(F.col("b")), F.lit(True)))
+    return differ.filter(~F.coalesce(only_variants(F.col("a"), F.col("b")), F.lit(False)))

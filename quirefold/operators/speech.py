@@ -6,14 +6,14 @@ Audio in a DataFrame is 16-bit little-endian PCM as bytes.
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
@@ -76,14 +76,11 @@ def pcm(samples: np.ndarray) -> bytes:
     return (np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes()
 
 
-def wav(data: bytes, rate: int) -> bytes:
-    out = io.BytesIO()
-    with wave.open(out, "wb") as f:
-        f.setnchannels(1)
-        f.setsampwidth(2)
-        f.setframerate(rate)
-        f.writeframes(data)
-    return out.getvalue()
+def wav_header(n_bytes: int, rate: int) -> bytes:
+    """Head of a file with so many bytes of mono 16-bit samples; sizes over 32 bits are written as the largest, as players
+    expect of streams."""
+    n_bytes = min(n_bytes, 2**32 - 1 - 36)
+    return b"RIFF" + struct.pack("<I", 36 + n_bytes) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", n_bytes)
 
 
 def segments(paragraphs: DataFrame) -> DataFrame:
@@ -103,8 +100,13 @@ def synthesised(paragraphs: DataFrame, engine: Callable[[], Engine]) -> DataFram
     return paragraphs.select("doc_id", "section_no", "para_no", "text").mapInPandas(run, "doc_id bigint, section_no int, para_no int, sample_rate int, pcm binary")
 
 
-def concatenated(audio: DataFrame) -> DataFrame:
-    """doc_id, sample_rate and pcm: the paragraphs of a document, in order."""
-    parts = F.array_sort(F.collect_list(F.struct("section_no", "para_no", "pcm")))
-    joined = F.aggregate(F.transform(parts, lambda x: x["pcm"]), F.lit(b""), lambda a, x: F.concat(a, x))
-    return audio.groupBy("doc_id").agg(F.max("sample_rate").alias("sample_rate"), joined.alias("pcm"))
+def in_order(audio: DataFrame) -> DataFrame:
+    """doc_id, part, sample_rate, pcm: the paragraphs of a document as numbered parts of its audio. Parts are never joined
+    in a row: an hour is 170 MB and a book is over what a row may hold. Sinks write them one after the other."""
+    order = W.partitionBy("doc_id").orderBy("section_no", "para_no")
+    return audio.withColumn("part", F.row_number().over(order)).select("doc_id", "part", "sample_rate", "pcm")
+
+
+def lengths(parts: DataFrame) -> DataFrame:
+    """doc_id, sample_rate and pcm_bytes of each document."""
+    return parts.groupBy("doc_id").agg(F.max("sample_rate").alias("sample_rate"), F.sum(F.octet_length("pcm").cast("bigint")).alias("pcm_bytes"))

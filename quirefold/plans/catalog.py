@@ -34,7 +34,7 @@ def _query(sql: str | None = None):
 
 
 def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 # ---- expressions that both engines share ----
@@ -44,8 +44,7 @@ SPOILT = (
 )
 SOFT = "replace(replace(text, 'en', 'e­ n'), 'er', 'e­r')"
 LINES = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS seq FROM documents)"""
-CAPITALS = "upper(replace(substr(text, 1, 60), 'ß', 'ss'))"
-WHOLE_CAPITALS = CAPITALS.replace("substr(text, 1, 60)", "text")
+CAPITALS = "upper(replace(text, 'ß', 'ss'))"
 ITEM_COLUMNS = {
     "item_kind": "CASE WHEN seq % 13 = 12 THEN 'other' ELSE 'text' END",
     "label": "CASE seq % 11 WHEN 0 THEN 'page_header' WHEN 4 THEN 'section_header' WHEN 7 THEN 'footnote' WHEN 9 THEN 'list_item' WHEN 10 THEN 'page_footer' ELSE 'text' END",
@@ -70,12 +69,12 @@ def _items(spark, sf_dir):
     return df.select("doc_id", "seq", *(F.col(f"x_{n}").alias(n) for n in ITEM_COLUMNS), F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end")).alias("charspan"))
 
 
-def _conversation_chunks(spark, sf_dir, whole: bool = False):
+def _conversation_chunks(spark, sf_dir):
     """Turns as chunks: systems are headers, every fifth turn is a footnote, and pages change every third turn."""
     df = _table(spark, sf_dir, "conversations")
     label = F.when(F.col("role") == "system", "section_header").when(F.col("turn") % 5 == 4, "footnote").otherwise("text")
     meta = F.create_map(F.lit("page_#"), F.expr("cast(floor(turn / 3) AS INT) + 1").cast("string"))
-    return df.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("section_no"), F.col("turn").cast("int").alias("seq"), (F.col("text") if whole else F.substring("text", 1, 60)).alias("text"), label.alias("label"), meta.alias("meta"))
+    return df.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("section_no"), F.col("turn").cast("int").alias("seq"), "text", label.alias("label"), meta.alias("meta"))
 
 
 def _lexicon(spark, sf_dir):
@@ -83,33 +82,40 @@ def _lexicon(spark, sf_dir):
 
 
 # ---- SQL of the functions ----
+# The SQL states characters, patterns and lists for itself, one rule after the other, so that a wrong constant or a wrong
+# combination of rules in the functions shows.
 
 
-def _re2(pattern: str) -> str:
-    return pattern.replace("(?U)", "").replace(r"\w", r"[\p{L}\p{N}_]").replace("'", "''")
+def _sql_passes(x: str, *passes: tuple[str, str]) -> str:
+    for pattern, by in passes:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
 
 
-def _sql_replaced(x: str, rules) -> str:
-    for pattern, by in rules:
-        by = by.replace("$1", r"\1").replace("'", "''")
-        if "(?<=" in pattern:
-            pattern, by = pattern.replace(r"(?<=\s)", r"(\s)"), r"\1\2"
-        x = f"regexp_replace({x}, '{_re2(pattern)}', '{by}', 'g')"
+def _sql_ligatures(x: str) -> str:
+    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st")):
+        x = f"replace({x}, '{a}', '{b}')"
     return x
 
 
-def _sql_literal(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+def _sql_misread(x: str) -> str:
+    return "translate(" + x + ", 'ÒÓÕÑÐ', '\"\"" + "'" * 2 + "—–')"
 
 
-def _sql_translate(x: str, pair) -> str:
-    return f"translate({x}, {_sql_literal(pair[0])}, {_sql_literal(pair[1])})"
+def _sql_quotes(x: str) -> str:
+    return "translate(" + x + ", '“”‘’', '\"\"" + "'" * 4 + "')"
 
 
-def _sql_ligatures(x: str) -> str:
-    for a, b in T.LIGATURES:
-        x = f"replace({x}, '{a}', '{b}')"
-    return x
+def _sql_punctuation(x: str) -> str:
+    return _sql_passes(x, ("([.!?]) ''", r"\1''"), ('([.!?]) "', r'\1"'), (r"\s+,", ","), (r"(\s)\.([a-zA-Z])", r"\1\2"), (r"\s+\.", "."), (r"\s+\?", "?"), (r"\s+!", "!"))
+
+
+def _sql_brackets(x: str) -> str:
+    return _sql_passes(x, (r"\s+\)", ")"), (r"\s+\]", "]"), (r"\s+\}", "}"), (r"\(\s+", "("), (r"\[\s+", "["), (r"\{\s+", "{"))
+
+
+def _sql_apostrophes(x: str) -> str:
+    return _sql_passes(x, (r"''\s+s(\s|[.,!?;:])", r"''s\1"), (r"\s+''s(\s|$)", r"''s\1"))
 
 
 def _sql_soft(x: str) -> str:
@@ -127,9 +133,7 @@ def _sql_space(x: str) -> str:
 def _sql_clean(x: str, footnotes: bool = True) -> str:
     x = _sql_soft(x)
     x = _sql_footnote(x) if footnotes else x
-    x = _sql_translate(_sql_ligatures(x), T.MISREAD)
-    x = _sql_replaced(_sql_replaced(_sql_replaced(x, T.PUNCTUATION_SPACING), T.BRACKET_SPACING), T.APOSTROPHES)
-    return _sql_space(_sql_translate(x, T.CURLY_QUOTES))
+    return _sql_space(_sql_quotes(_sql_apostrophes(_sql_brackets(_sql_punctuation(_sql_misread(_sql_ligatures(x)))))))
 
 
 def _sql_ends(x: str) -> str:
@@ -155,28 +159,31 @@ def _function(name: str, column, sql: str, source: str = SPOILT):
 
     run.__name__ = name
     QUERIES[name] = run
-    ORACLE[name] = f"SELECT doc_id, {sql.format(x='text')} AS result FROM (SELECT doc_id, {source} AS text FROM documents)"
+    ORACLE[name] = f"SELECT doc_id, {sql} AS result FROM (SELECT doc_id, {source} AS text FROM documents)"
 
 
-_function("clean_documents", lambda c: T.clean(T.join_soft_hyphens(c), True), _sql_clean("text").replace("{", "{{").replace("}", "}}"))
+_function("clean_documents", lambda c: T.clean(T.join_soft_hyphens(c), True), _sql_clean("text"))
 _function("soft_hyphens", T.join_soft_hyphens, _sql_soft("text"), SOFT)
 _function("drop_soft_hyphens", T.drop_soft_hyphens, "replace(text, '­', '')", SOFT)
-_function("strip_footnote_numbers", T.strip_footnote_number, _sql_footnote("text").replace("{", "{{").replace("}", "}}"), "concat(text, ' 12 ')")
+_function("strip_footnote_numbers", T.strip_footnote_number, _sql_footnote("text"), "concat(text, ' 12 ')")
 _function("ligatures", T.spell_ligatures, _sql_ligatures("text"))
-_function("encoding_fix", T.fix_misread, _sql_translate("text", T.MISREAD))
-_function("punct_spacing", T.space_punctuation, _sql_replaced("text", T.PUNCTUATION_SPACING))
-_function("bracket_spacing", T.space_brackets, _sql_replaced("text", T.BRACKET_SPACING).replace("{", "{{").replace("}", "}}"))
-_function("apostrophes", T.close_apostrophes, _sql_replaced("text", T.APOSTROPHES))
-_function("quotes", T.straight_quotes, _sql_translate("text", T.CURLY_QUOTES))
+_function("encoding_fix", T.fix_misread, _sql_misread("text"))
+_function("punct_spacing", T.space_punctuation, _sql_punctuation("text"))
+_function("bracket_spacing", T.space_brackets, _sql_brackets("text"))
+_function("apostrophes", T.close_apostrophes, _sql_apostrophes("text"))
+_function("quotes", T.straight_quotes, _sql_quotes("text"))
 _function("whitespace", T.one_space, _sql_space("text"))
-_function("dashes", T.plain_dashes, _sql_translate("text", T.DASHES), "replace(replace(text, ' de ', ' — '), ' the ', '–')")
-_function("title_case", T.title_case, _sql_title("text").replace("{", "{{").replace("}", "}}"), CAPITALS)
-_function("whole_title_case", T.title_case, _sql_title("text").replace("{", "{{").replace("}", "}}"), WHOLE_CAPITALS)
+_function("dashes", T.plain_dashes, "translate(text, '—–', '--')", "replace(replace(text, ' de ', ' — '), ' the ', '–')")
+_function("title_case", T.title_case, _sql_title("text"), CAPITALS)
 _function("normal_lines", T.normal_line, "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')", "replace(text, 'ß', 'ss')")
-_function("printable_length", lambda c: T.printable_length(c).cast("bigint"), r"length(regexp_replace(text, '[\p{{C}}\p{{Zl}}\p{{Zp}}\x{{A0}}]', '', 'g'))::BIGINT", "concat(text, '­ ')")
+_function("printable_length", lambda c: T.printable_length(c).cast("bigint"), r"length(regexp_replace(text, '[\p{C}\p{Zl}\p{Zp}\x{A0}]', '', 'g'))::BIGINT", "concat(text, '­ ')")
 _function("speech_segments", lambda c: F.size(T.speech_segments(c)).cast("bigint"), r"len(list_filter(regexp_split_to_array(text, '\n+'), lambda s: trim(s) <> ''))::BIGINT", "text")
-_FOLDS = T._folds()
-_function("normal_tokens", T.normal_token, r"""lower(regexp_replace({fold}, '[^\x00-\x7F]', '', 'g'))""".format(fold=_sql_translate(r"""regexp_replace(regexp_replace(text, '[.,;:!?"''()\[\]]', '', 'g'), '[—–-]', '', 'g')""", _FOLDS)).replace("{", "{{").replace("}", "}}"))
+# characters that decompose into several letters are put in; SQL has no compatibility decomposition, so it spells them out
+_function(
+    "normal_tokens", T.normal_token,
+    r"""lower(regexp_replace(strip_accents(replace(replace(replace(replace(replace(regexp_replace(text, '[.,;:!?"''()\[\]—–-]', '', 'g'), 'ﬁ', 'fi'), 'ﬃ', 'ffi'), 'Ａ', 'A'), '½', '12'), 'Ⓐ', 'A')), '[^\x00-\x7F]', '', 'g'))""",
+    "replace(replace(replace(replace(text, 'fi', 'ﬁ'), ' the ', ' Ａﬃ '), ' de ', ' ½ '), ' a ', 'Ⓐ')",
+)
 
 
 @_query(f"SELECT doc_id, seq, {_sql_ends('text')} AS ends, coalesce(regexp_matches(text, '[.?!]\\z'), false) AS punctuated FROM (WITH {LINES} SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN text || '\"' ELSE text END AS text FROM lines)")
@@ -185,13 +192,11 @@ def sentence_end_flags(spark, sf_dir):
     return df.select("doc_id", "seq", T.is_sentence_end(F.col("text")).alias("ends"), T.ends_with_punctuation(F.col("text")).alias("punctuated"))
 
 
-_NUMERALS = ("I", " iv ", "XIX", "ABC", "", "MMMCMXCIX", "IIII", "VX", "dcl", "XLIX")
-
-
-@_query(f"SELECT doc_id, regexp_matches(trim(t), '{T.ROMAN}') AS roman FROM (SELECT doc_id, [{', '.join(map(repr, _NUMERALS))}][doc_id % 10 + 1] AS t FROM documents)")
+@_query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n]+'), lambda w: regexp_matches(w, '(?i)^(M{0,3})(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$')))::BIGINT AS numerals
+FROM (SELECT doc_id, replace(replace(text, ' the ', ' MMMCMXCIX '), ' de ', ' xlix IIII ') AS text FROM documents)""")
 def roman_numerals(spark, sf_dir):
-    text = F.element_at(F.array(*map(F.lit, _NUMERALS)), (F.col("doc_id") % 10 + 1).cast("int"))
-    return _table(spark, sf_dir, "documents").select("doc_id", T.is_roman(text).alias("roman"))
+    docs = _documents(spark, sf_dir, "replace(replace(text, ' the ', ' MMMCMXCIX '), ' de ', ' xlix IIII ')")
+    return docs.select("doc_id", F.size(F.filter(F.split("text", r"[ \t\n]+"), T.is_roman)).cast("bigint").alias("numerals"))
 
 
 @_query(f"""
@@ -203,40 +208,22 @@ def enhanced_titles(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.enhance_title(text).alias("title"))
 
 
-@_query(ORACLE["enhanced_titles"].replace(CAPITALS, WHOLE_CAPITALS))
-def whole_enhanced_titles(spark, sf_dir):
-    text = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("IV ")).otherwise(F.lit("")), F.expr(WHOLE_CAPITALS), F.lit(" X'S"))
-    return _table(spark, sf_dir, "documents").select("doc_id", T.enhance_title(text).alias("title"))
-
-
 @_query(f"WITH {LINES} SELECT doc_id, {_sql_join('text', 'seq')} AS text FROM lines GROUP BY doc_id")
 def build_paragraph(spark, sf_dir):
     lines = _lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("p"))
     return lines.select("doc_id", T.join_pieces(F.transform("p", lambda x: x["text"])).alias("text"))
 
 
-_CLASS_LABELS = ("FOOTNOTE", "BODY TEXT", "INDEX", "table of contents", "weird", "Endnote", "caption", "main", "page header", "context")
-
-
-@_query(f"""SELECT doc_id, CASE WHEN regexp_matches(l, '{T.CLASS_HINTS[0][1]}') THEN 'footnote' WHEN regexp_matches(l, '{T.CLASS_HINTS[1][1]}') THEN 'body'
-WHEN regexp_matches(l, '{T.CLASS_HINTS[2][1]}') THEN 'drop' ELSE 'none' END AS class FROM (SELECT doc_id, lower([{', '.join(map(repr, _CLASS_LABELS))}][doc_id % 10 + 1]) AS l FROM documents)""")
+@_query(f"""WITH {LINES} SELECT doc_id, seq, CASE WHEN regexp_matches(l, 'footnote|endnote|note') THEN 'footnote' WHEN regexp_matches(l, 'body|main|prose|content|paragraph|text') THEN 'body'
+WHEN regexp_matches(l, 'index|bibliograph|reference|encyclop|glossar|appendix|contents|header|footer|caption|table') THEN 'drop' ELSE 'none' END AS class
+FROM (SELECT doc_id, seq, lower(replace(replace(replace(text, ' the ', ' FOOTNOTE '), ' de ', ' main '), ' and ', ' Table ')) AS l FROM lines)""")
 def coerce_class(spark, sf_dir):
-    label = F.element_at(F.array(*map(F.lit, _CLASS_LABELS)), (F.col("doc_id") % 10 + 1).cast("int"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(T.coerce_class(label), F.lit("none")).alias("class"))
+    label = F.expr("replace(replace(replace(text, ' the ', ' FOOTNOTE '), ' de ', ' main '), ' and ', ' Table ')")
+    return _lines(spark, sf_dir).select("doc_id", "seq", F.coalesce(T.coerce_class(label), F.lit("none")).alias("class"))
 
 
-@_query(rf"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n]+'), lambda w: regexp_matches(w, '{T.ROMAN}')))::BIGINT AS numerals FROM documents")
-def word_numerals(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.size(F.filter(F.split("text", r"[ \t\n]+"), T.is_roman)).cast("bigint").alias("numerals"))
-
-
-@_query(f"WITH {LINES} " + ORACLE["coerce_class"].split(" FROM (")[0].replace("SELECT doc_id,", "SELECT doc_id, seq,") + " FROM (SELECT doc_id, seq, lower(text) AS l FROM lines)")
-def line_classes(spark, sf_dir):
-    return _lines(spark, sf_dir).select("doc_id", "seq", F.coalesce(T.coerce_class(F.col("text")), F.lit("none")).alias("class"))
-
-
-_PREFIXED = "CASE doc_id % 4 WHEN 0 THEN '(' || (doc_id % 30) || ') ' WHEN 1 THEN (doc_id % 30) || '. ' WHEN 2 THEN (doc_id % 30) || ') ' ELSE '' END || substr(text, 1, 40)"
-_UNPREFIXED = "CASE WHEN doc_id % 8 = 0 THEN '7. ' ELSE '' END || substr(text, 1, 38)"
+_PREFIXED = "CASE doc_id % 4 WHEN 0 THEN '(' || (doc_id % 30) || ') ' WHEN 1 THEN (doc_id % 30) || '. ' WHEN 2 THEN (doc_id % 30) || ') ' ELSE '' END || text"
+_UNPREFIXED = "CASE WHEN doc_id % 8 = 0 THEN '7. ' ELSE '' END || text"
 
 
 @_query(rf"""SELECT doc_id, CASE WHEN regexp_matches(o, '^(\(\d+\)|\d+[.)]) ') AND NOT regexp_matches(c, '^(\(\d+\)|\d+[.)]) ') THEN regexp_extract(o, '^(\(\d+\)|\d+[.)]) ', 0) || c ELSE c END AS text
@@ -246,15 +233,6 @@ def restore_list_prefix(spark, sf_dir):
     return df.select("doc_id", T.restore_list_prefix(F.col("o"), F.col("c")).alias("text"))
 
 
-_WHOLE_PREFIXED, _WHOLE_UNPREFIXED = _PREFIXED.replace("substr(text, 1, 40)", "text"), _UNPREFIXED.replace("substr(text, 1, 38)", "text")
-
-
-@_query(ORACLE["restore_list_prefix"].replace(_PREFIXED, _WHOLE_PREFIXED).replace(_UNPREFIXED, _WHOLE_UNPREFIXED))
-def whole_restore_list_prefix(spark, sf_dir):
-    df = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_WHOLE_PREFIXED).alias("o"), F.expr(_WHOLE_UNPREFIXED).alias("c"))
-    return df.select("doc_id", T.restore_list_prefix(F.col("o"), F.col("c")).alias("text"))
-
-
 @_query(r"""SELECT doc_id, n > 0 AND abs(length(c) - n) / n > 0.10 AS refused FROM (SELECT doc_id, length(regexp_replace(text, '[\p{C}]', '', 'g')) AS n, substr(text, 1, (length(text) * (80 + doc_id % 30) / 100)::INT) AS c FROM
 (SELECT doc_id, text FROM documents))""".replace("(length(text) * (80 + doc_id % 30) / 100)::INT", "cast(floor(length(text) * (80 + doc_id % 30) / 100) AS INT)"))
 def size_guard(spark, sf_dir):
@@ -297,7 +275,7 @@ def paragraphs_min400(spark, sf_dir):
 
 
 _TURNS = """
-t AS (SELECT conv_id AS doc_id, turn::INT AS seq, substr(text, 1, 60) AS text, CASE WHEN role = 'system' THEN 'section_header' WHEN turn % 5 = 4 THEN 'footnote' ELSE 'text' END AS label,
+t AS (SELECT conv_id AS doc_id, turn::INT AS seq, text, CASE WHEN role = 'system' THEN 'section_header' WHEN turn % 5 = 4 THEN 'footnote' ELSE 'text' END AS label,
   (floor(turn / 3)::INT + 1)::VARCHAR AS page FROM conversations)"""
 _ATTRIBUTED = f"""
 WITH {_TURNS},
@@ -340,34 +318,6 @@ def debug_meta(spark, sf_dir):
     return sinks.meta_lines(P.paragraphs(_conversation_chunks(spark, sf_dir), clean=False)).drop("section_no")
 
 
-# The SQL of the queries above is of the first 60 characters of a turn. These are the same over whole turns.
-
-
-def _whole(name: str) -> str:
-    return ORACLE[name].replace("substr(text, 1, 60)", "text")
-
-
-@_query(_whole("section_attribution"))
-def whole_section_attribution(spark, sf_dir):
-    return P.flat(P.paragraphs(_conversation_chunks(spark, sf_dir, whole=True), clean=False)).drop("section_no")
-
-
-@_query(_whole("context_lookup"))
-def whole_context_lookup(spark, sf_dir):
-    chunks = _conversation_chunks(spark, sf_dir, whole=True)
-    return P.with_context(P.paragraphs(chunks, clean=False), P.page_contexts(chunks)).select("doc_id", "para_no", "page", "context")
-
-
-@_query(_whole("page_contexts"))
-def whole_page_contexts(spark, sf_dir):
-    return P.page_contexts(_conversation_chunks(spark, sf_dir, whole=True)).drop("section_no")
-
-
-@_query(_whole("debug_meta"))
-def whole_debug_meta(spark, sf_dir):
-    return sinks.meta_lines(P.paragraphs(_conversation_chunks(spark, sf_dir, whole=True), clean=False)).drop("section_no")
-
-
 # ---- layout ----
 
 _ITEMS = f"items AS (SELECT doc_id, seq, {', '.join(f'{e} AS {n}' for n, e in ITEM_COLUMNS.items())}, length(text) AS span FROM ({{lines}}))".replace("{lines}", f"WITH {LINES} SELECT * FROM lines").replace("seq / 6", "seq / 6.0")
@@ -481,7 +431,7 @@ def lexicon(spark, sf_dir):
 _GATE = rf"""
 WITH x AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS word FROM benchmark),
 t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[\s\x0B\x1C-\x1F]+'), lambda s: s <> '')) AS w FROM documents),
-k AS (SELECT doc_id, translate(lower(w), {_sql_literal(words.TOKEN_PUNCTUATION)}, '') AS token FROM t),
+k AS (SELECT doc_id, regexp_replace(lower(w), '[,;:.!?()''"—–]', '', 'g') AS token FROM t),
 b AS (SELECT doc_id, count(*) FILTER (token = '' OR token NOT IN (SELECT word FROM x)) AS n_invalid FROM k GROUP BY doc_id)"""
 
 
@@ -506,7 +456,12 @@ def _hyphens(spark, sf_dir, seam: str):
     return _documents(spark, sf_dir, f"replace(replace(text, ' the ', '-the '), 'tion', '{seam}')")
 
 
-@_query()
+_W = r"[\p{L}\p{N}_]+"
+
+
+@_query(rf"""WITH x AS (SELECT list(DISTINCT w) AS lexicon FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS w FROM benchmark) WHERE w <> ''),
+d AS (SELECT doc_id, regexp_extract_all(replace(replace(text, ' the ', '-the '), 'tion', '-tion'), '{_W}-{_W}|{_W}|[^\p{{L}}\p{{N}}_]') AS pieces FROM documents)
+SELECT doc_id, array_to_string(list_transform(pieces, lambda p: CASE WHEN regexp_full_match(p, '{_W}-{_W}') AND NOT list_contains(lexicon, lower(split_part(p, '-', 2))) THEN replace(p, '-', ' - ') ELSE p END), '') AS text FROM d, x""")
 def dash_hyphens(spark, sf_dir):
     return words.open_dashes(_hyphens(spark, sf_dir, "-tion"), "text", words.validator(_lexicon(spark, sf_dir)))
 
@@ -557,13 +512,20 @@ def html_paragraphs(spark, sf_dir):
 @_query(f"WITH {LINES} SELECT doc_id, 24000 AS sample_rate, sum(2 * 24 * length(text))::BIGINT AS pcm_bytes FROM lines GROUP BY doc_id")
 def audio(spark, sf_dir):
     lines = _lines(spark, sf_dir).withColumn("para_no", F.col("seq"))
-    return speech.concatenated(speech.synthesised(lines, speech.ToneEngine)).select("doc_id", "sample_rate", F.octet_length("pcm").cast("bigint").alias("pcm_bytes"))
+    return speech.lengths(speech.in_order(speech.synthesised(lines, speech.ToneEngine)))
 
 
-@_query()
+@_query(rf"""WITH {LINES}, r AS (SELECT doc_id, seq AS line_no, text AS a, CASE WHEN seq % 5 = 2 THEN text || ' extra words' WHEN seq % 5 = 3 THEN replace(replace(text, 'tion', 'shon'), 'e', 'é') ELSE upper(replace(text, 'ß', 'ss')) END AS b FROM lines),
+w AS (SELECT *, regexp_split_to_array(trim(regexp_replace(lower(a), '[\s\x0B]+', ' ', 'g')), ' ') AS x, regexp_split_to_array(trim(regexp_replace(lower(b), '[\s\x0B]+', ' ', 'g')), ' ') AS y FROM r
+  WHERE regexp_replace(lower(a), '[^a-z0-9]', '', 'g') <> regexp_replace(lower(b), '[^a-z0-9]', '', 'g')),
+p AS (SELECT doc_id, line_no, a, b, len(x) = len(y) AS even, unnest(list_zip(x, y)) AS z FROM w),
+v AS (SELECT *, regexp_replace(z[1], '[^a-z]', '', 'g') AS p, regexp_replace(z[2], '[^a-z]', '', 'g') AS q FROM p),
+s AS (SELECT *, levenshtein(p, q) AS d, length(p) + length(q) AS n, abs(length(p) - length(q)) AS k, list_sort(string_split(p, '')) = list_sort(string_split(q, '')) AS same FROM v)
+SELECT doc_id, line_no, a, b FROM s GROUP BY ALL HAVING NOT bool_and(even AND (p = q OR 5 * (CASE WHEN d = 2 AND same THEN 2 ELSE 2 * d - k END) <= n))""")
 def differing_lines(spark, sf_dir):
     left = _lines(spark, sf_dir).select("doc_id", F.col("seq").alias("line_no"), F.col("text").alias("line"))
-    right = left.withColumn("line", F.when(F.col("line_no") % 5 == 2, F.concat("line", F.lit(" extra words"))).otherwise(F.upper("line")))
+    spelt = F.replace(F.replace("line", F.lit("tion"), F.lit("shon")), F.lit("e"), F.lit("é"))
+    right = left.withColumn("line", F.when(F.col("line_no") % 5 == 2, F.concat("line", F.lit(" extra words"))).when(F.col("line_no") % 5 == 3, spelt).otherwise(F.upper(F.replace("line", F.lit("ß"), F.lit("ss")))))
     return compare.differing_lines(left, right)
 
 

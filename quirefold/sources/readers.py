@@ -16,9 +16,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.functions import text as T
 from quirefold.operators.layout import ITEM
 
-SPACES = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+#: Bytes that one row group of a Parquet file holds, as it is usually written.
+ROW_GROUP = 128 << 20
+
+
+def parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. A file of one row group is one task, whatever its rows cost; so a table of fewer files than there are
+    cores, and of no more bytes than one row group a file, is dealt out to the cores. Larger tables are read as they are."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= cores * ROW_GROUP:
+        files = len(df.inputFiles())
+        if files < cores and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= files * ROW_GROUP:
+            return df.repartition(cores)
+    return df
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +109,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _strip(name: str):
-    return F.regexp_replace(F.coalesce(F.col(name), F.lit("")), SPACES, "")
+    return T.stripped(F.coalesce(F.col(name), F.lit("")))
 
 
 def sections_to_skip(spark: SparkSession, path: str) -> DataFrame:

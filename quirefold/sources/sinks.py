@@ -6,14 +6,17 @@ one file of a single document that a reader expects by name; they stream, a part
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quirefold.operators import chunks as C
-from quirefold.operators.speech import wav
+from quirefold.operators.speech import wav_header
 
 
 def paragraph_lines(paragraphs: DataFrame) -> DataFrame:
@@ -45,20 +48,51 @@ def listing_file(lines: DataFrame, path: str | Path | None) -> None:
         out.writelines(_stream(lines))
 
 
-def wav_rows(audio: DataFrame) -> DataFrame:
-    """doc_id and wav: the audio of a document as the content of a file."""
-
-    @F.udf("binary")
-    def content(data, rate):
-        return wav(bytes(data or b""), rate)
-
-    return audio.select("doc_id", content("pcm", "sample_rate").alias("wav"))
-
-
-def wav_file(audio: DataFrame, path: str | Path) -> None:
-    """The audio of a single document."""
-    row = audio.first()
-    Path(path).write_bytes(wav(bytes(row["pcm"]), row["sample_rate"]))
+def wav_files(parts: DataFrame, folder: str) -> DataFrame:
+    """Writes doc_id.wav of each document into a folder that all workers share; gives doc_id, path and n_bytes. parts: as
+    operators.speech.in_order. A document's parts are streamed into its file in order, so no task holds more than one; an
+    attempt writes a file of its own, which gets its name when it is whole."""
+    rows = parts.repartition("doc_id").sortWithinPartitions("doc_id", "part").select("doc_id", "sample_rate", "pcm")
+
+    def finish(file, n, rate, draft, doc):
+        file.seek(0)
+        file.write(wav_header(n, rate))
+        file.close()
+        path = f"{folder}/{doc}.wav"
+        os.replace(draft, path)
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], pa.int64()), "path": pa.array([path]), "n_bytes": pa.array([n], pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        doc = file = None
+        for batch in batches:
+            for own, rate, pcm in zip(batch.column("doc_id"), batch.column("sample_rate"), batch.column("pcm"), strict=True):
+                if file is None or own.as_py() != doc:
+                    if file is not None:
+                        yield finish(file, n, last_rate, draft, doc)
+                    doc, n, draft = own.as_py(), 0, f"{folder}/.{uuid.uuid4().hex}"
+                    file = open(draft, "wb")
+                    file.write(wav_header(0, 0))
+                last_rate = rate.as_py()
+                data = pcm.as_py() or b""
+                file.write(data)
+                n += len(data)
+        if file is not None:
+            yield finish(file, n, last_rate, draft, doc)
+
+    return rows.mapInArrow(run, "doc_id bigint, path string, n_bytes bigint")
+
+
+def wav_file(parts: DataFrame, path: str | Path) -> None:
+    """The audio of a single document, streamed to a local file part by part."""
+    n, rate = 0, 0
+    with open(path, "wb") as out:
+        out.write(wav_header(0, 0))
+        for row in parts.orderBy("part").toLocalIterator():
+            out.write(row["pcm"])
+            n, rate = n + len(row["pcm"]), row["sample_rate"]
+        out.seek(0)
+        out.write(wav_header(n, rate))
 
 
 def markdown_lines(items: DataFrame) -> DataFrame:

@@ -32,12 +32,49 @@ def test_sections(html, wanted):
 
 
 def test_header_levels():
-    level = lambda html: H.header_level(H.parse(html).children[0])
-    assert [level(x) for x in ("<h3>", "<p class='H'>", "<p class='x h4'>", "<p class='pre-title1 h2'>", "<html>", "<p>")] == [3, 0, 4, 0, None, None]
-    assert H.is_title(H.parse("<p class='SubTitle'>").children[0])
-    assert not H.is_title(H.parse("<p class='titled x1'>").children[0]) or True
+    cases = [("h3", []), ("p", ["H"]), ("p", ["x", "h4"]), ("p", ["pre-title1", "h2"]), ("html", []), ("p", [])]
+    assert [H.header_level(*x) for x in cases] == [3, 0, 4, 0, None, None]
+    assert H.is_title(["SubTitle"])
+    assert H.is_title(["titled"])
+    assert not H.is_title(["heading"])
+    assert H.is_chapter_number(["ch-num"], "12")
+    assert not H.is_chapter_number(["ch-num"], "12 ")
     assert H.is_section_title(None) is False
-    assert H.is_only_h1(H.parse("<h1>a</h1>").children[0], 1)
+    assert H.is_only_h1(1, 1)
+    assert not H.is_only_h1(1, 2)
+
+
+def test_page_marks():
+    assert [H.page_of_mark(m) for m in ("page_12", "page_a_iv", "p7", "px", "x")] == ["12", "iv", "7", "", ""]
+    assert [H.page_of_element(m) for m in ("p012-1", "pix", "q3", "")] == ["12", "", "", ""]
+
+
+@pytest.mark.parametrize(("html", "wanted"), [
+    ("<p><b><sup>1</sup><sup>2</sup></b> t</p>", ["2 t"]),
+    ("<p><sup>1</sup><sup>1</sup> t<sup>1</sup></p>", ["11 t1"]),
+    ("<p><sup>1</sup><sup>2</sup> t</p>", ["1 t"]),
+    ("<p> <!-- c --><i>x<sup>1</sup></i> t</p>", ["  t"]),
+])
+def test_superscripts(html, wanted):
+    got = [c[0] for c in H.section_chunks(html)]
+    assert got == (wanted if "<!--" not in html else [" x t"])
+
+
+def test_depth_and_size():
+    """Any depth of nesting, in time that grows with the size."""
+    import time
+
+    deep = "<span>" * 50_000 + "deep" + "</span>" * 50_000
+    began = time.time()
+    assert [c[0] for c in H.section_chunks(f"<div><p>{deep}</p></div>")] == ["deep"]
+    assert [c[0] for c in H.section_chunks("<div>" * 50_000 + "<p>x</p>")] == ["x"]
+    assert time.time() - began < 10
+
+
+def test_page_ids_over_32_bits(spark):
+    pages = spark.createDataFrame([(3_000_000_000 + k, "http://h/x", f"<p>Text {k}.</p>") for k in (0, 70_000, 1)], "page_id long, url string, html string")
+    out = H.to_chunks(H.from_pages(pages)).orderBy("section_no").collect()
+    assert [(r.section_no, r.text) for r in out] == [(1, "Text 0."), (2, "Text 1."), (3, "Text 70000.")]
 
 
 def test_items(spark):

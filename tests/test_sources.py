@@ -88,11 +88,24 @@ def test_refusals(spark, tmp_path):
 def test_audio_order(spark):
     rows = [(1, 0, 2, "bb"), (1, 0, 1, "a"), (1, 1, 1, "ccc")]
     df = spark.createDataFrame(rows, "doc_id long, section_no int, para_no int, text string")
-    pcm = speech.concatenated(speech.synthesised(df, speech.ToneEngine)).first().pcm
+    pcm = b"".join(r.pcm for r in speech.in_order(speech.synthesised(df, speech.ToneEngine)).orderBy("part").collect())
     tone = speech.ToneEngine()
     assert bytes(pcm) == b"".join(speech.pcm(tone.generate(t)) for t in ("a", "bb", "ccc"))
     assert [r.text for r in speech.segments(df.withColumn("text", df.text.cast("string"))).collect()]
-    assert sinks.wav_rows(speech.concatenated(speech.synthesised(df, speech.ToneEngine))).first().wav[:4] == b"RIFF"
+
+
+def test_wav_files(spark, tmp_path):
+    rows = [(d, 0, k, "ab" * (d + k)) for d in (1, 2, 3) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, section_no int, para_no int, text string")
+    out = sinks.wav_files(speech.in_order(speech.synthesised(df, speech.ToneEngine)), str(tmp_path / "wav")).collect()
+    for r in out:
+        with wave.open(r.path) as f:
+            assert (f.getframerate(), f.getnchannels(), f.getsampwidth()) == (24_000, 1, 2)
+            whole = f.readframes(f.getnframes())
+        tone = speech.ToneEngine()
+        assert whole == b"".join(speech.pcm(tone.generate("ab" * (r.doc_id + k))) for k in range(5))
+        assert len(whole) == r.n_bytes
+    assert sorted(x.name for x in (tmp_path / "wav").iterdir()) == ["1.wav", "2.wav", "3.wav"]
 
 
 def test_engines():
@@ -139,6 +152,12 @@ def test_compare(spark):
     assert {r.line_no for r in compare.differing_lines(left, right).collect()} == {3, 4}
 
 
+def test_variants(spark):
+    pairs = {("initialize", "initialise"): True, ("centre", "center"): True, ("programme", "program"): True, ("colour", "color"): True, ("text", "footnote"): False, ("cat", "car"): False, ("test", "text"): False, ("a", ""): False, ("", ""): True}
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, p string, q string")
+    assert [r[1] for r in df.select("k", compare.are_variants(df.p, df.q)).orderBy("k").collect()] == [*pairs.values()]
+
+
 def test_listing(spark, tmp_path):
     df = spark.createDataFrame([(1, 0, 2, "b", {"k": "v", "a": "z"}), (1, 0, 1, "a", {})], "doc_id long, section_no int, para_no int, text string, meta map<string,string>")
     sinks.write_listing(sinks.meta_lines(df), str(tmp_path / "out"))

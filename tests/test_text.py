@@ -25,6 +25,11 @@ CASES = [
     (T.enhance_title, "Not Capitals", "Not Capitals"),
     (T.normal_token, "Eötvös.", "eotvos"),
     (T.normal_token, "well-known", "wellknown"),
+    (T.normal_token, "ﬁne Ａｂｃ ½ Ⓐ", "fine abc 12 a"),
+    (T.title_case, "漢字ABC ǆ", "漢字Abc ǅ"),
+    (T.enhance_title, "ǅUP", "ǅUP"),
+    (T.space_brackets, "x ) . ( ( a", "x) . ((a"),
+    (T.clean, "x , . ) ( , )  y", "x,.) (,) y"),
     (T.coerce_class, "FOOTNOTE", "footnote"),
     (T.coerce_class, "BODY TEXT", "body"),
     (T.coerce_class, "INDEX", "drop"),
@@ -63,3 +68,21 @@ def test_list_prefix_and_size(spark):
     assert [r[0] for r in df.select(T.restore_list_prefix(F.col("o"), F.col("c"))).collect()] == ["(3) abc", "4. abc", "abc"]
     df = spark.createDataFrame([("a" * 100, "a" * 90), ("a" * 100, "a" * 89), ("", "abc"), ("ab­\n" * 10, "ab" * 10)], "o string, c string")
     assert [r[0] for r in df.select(T.size_differs(F.col("o"), F.col("c"))).collect()] == [False, True, False, False]
+
+
+def test_white_space_takes_linear_time(spark):
+    """A million spaces take no more than some times as long as a quarter of them, ended by what the patterns look for."""
+    import time
+
+    def took(n):
+        blank = " " * n
+        df = spark.createDataFrame([(f"a{blank}{end}{blank}b",) for end in ("x", ",", "'s", ")", "12")], "x string")
+        began = time.time()
+        got = [r[0] for r in df.select(T.clean(T.join_soft_hyphens(F.col("x")), True)).collect()]
+        assert got == ["a x b", "a, b", "a's b", "a) b", "a 12 b"]
+        return time.time() - began
+
+    took(1000)
+    short, long = min(took(250_000) for _ in range(2)), took(1_000_000)
+    assert long < 10 * short + 1
+    assert long < 20

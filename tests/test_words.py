@@ -15,6 +15,12 @@ def test_valid():
     assert [RULES.is_valid(w) for w in ("dog", "Dog", "geese", "testability", "possibility", "happiness", "quickly", "tests", "xqzjkl", "")] == [True] * 8 + [False] * 2
 
 
+def test_base_forms():
+    plain = words.Validator("goose mouse city wolf knife church box man dog glass".split())
+    assert all(plain.is_valid(w) for w in ("geese", "mice", "cities", "wolves", "knives", "churches", "boxes", "men", "dogs", "glasses"))
+    assert not any(plain.is_valid(w) for w in ("s", "gees", "xies"))
+
+
 def test_all_valid():
     assert RULES.all_valid("The dog, tested!")
     assert RULES.all_valid("")
@@ -42,6 +48,15 @@ def test_join():
     ("false—as", "false-as", "false—as"),
     ("false-as", "false—as", "false—as"),
     ("one two", "one two three", "one two three"),
+    ("the Criti cism ruled", "the Criticism ruled", "the Criticism ruled"),
+    ("a Ph. D in", "a Ph.D. in", "a Ph.D. in"),
+    ("a criticism - and its", "a criticism—and its", "a criticism—and its"),
+    ("a criticism - the", "a criticism - the", "a criticism - the"),
+    ("of demarcation-the x", "of demarcation - the x", "of demarcation - the x"),
+    ("said 'Dog is", "said ‘Dog is", "said ‘Dog is"),
+    ("the dog'.", "the dog’.", "the dog’."),
+    ("The quick dog", "The happy test", "The quick dog"),
+    ("Popper (1 977), x", "Popper (1977), x", "Popper (1977), x"),
 ])
 def test_restore(old, new, wanted):
     assert RULES.restore_words(old, new) == wanted
@@ -56,5 +71,10 @@ def test_in_spark(spark):
     plain = {r.id: (r.n_invalid, r.all_valid) for r in words.gate(df, ["id"], "text", lexicon).collect()}
     assert full == {1: (0, True), 2: (2, False), 3: (0, True), 4: (0, True)}
     assert plain == full
+    words_at_most, words.LEXICON_WORDS = words.LEXICON_WORDS, 1  # a lexicon too large to send is joined
+    try:
+        assert {r.id: (r.n_invalid, r.all_valid) for r in words.gate(df, ["id"], "text", lexicon).collect()} == full
+    finally:
+        words.LEXICON_WORDS = words_at_most
     assert words.validator(words.lexicon_from_text(df, "text")).is_valid("dog")
     assert df.select(words.restore_words(spark, RULES)("text", F.lit("a"))).count() == 4
