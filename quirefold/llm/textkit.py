@@ -57,37 +57,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix((np.arange(256, dtype=U64) + U64(1)) * U64(_STEP))
-_powers: list[np.ndarray] = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
+#: Two families of polynomial hashes, independent of each other.
+_STEPS = (_STEP, 0xD1342543DE82EF95 | 1)
+_BYTES = tuple(mix((np.arange(256, dtype=U64) + U64(1)) * U64(step)) for step in _STEPS)
+_powers: list[list[np.ndarray]] = [[np.ones(1, dtype=U64), np.ones(1, dtype=U64)] for _ in _STEPS]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd step and of its inverse modulo 2**64, grown on demand."""
-    if len(_powers[0]) < n:
+    own = _powers[family]
+    if len(own[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
-        inverse = pow(_STEP, -1, 1 << 64)
-        for k, base in enumerate((_STEP, inverse)):
+        for k, base in enumerate((_STEPS[family], pow(_STEPS[family], -1, 1 << 64))):
             out = np.empty(size, dtype=U64)
             out[0] = 1
             have = 1
             while have < size:
                 out[have : 2 * have] = out[:have] * U64(pow(base, have, 1 << 64))
                 have *= 2
-            _powers[k] = out
-    return _powers[0], _powers[1]
+            own[k] = out
+    return own[0], own[1]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, family: int = 0) -> np.ndarray:
     """Running polynomial sums of the bytes, one longer than data."""
-    up, _ = _power_tables(len(data) + 1)
+    up, _ = _power_tables(len(data) + 1, family)
     out = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
+    np.cumsum(_BYTES[family][data] * up[: len(data)], out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
     """64-bit hash of each span [start, end); equal bytes give equal hashes wherever they stand."""
-    _, down = _power_tables(len(sums))
+    _, down = _power_tables(len(sums), family)
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
