@@ -19,6 +19,54 @@ def test_language_accuracy(spark):
     assert out.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
+def bayes(rows):
+    """Posteriors by counting every gram of every text, one by one. rows: (doc_id, text, lang)."""
+    import collections
+    import math
+    import zlib
+
+    def grams(text):
+        chars = []
+        for c in text.lower():
+            chars += [c] if c.isalpha() else [" "] if chars and chars[-1] != " " else []
+        chars += [" "] if chars and chars[-1] != " " else []
+        for k, c in enumerate(chars):
+            for order in (1, 2, 3):
+                if order > 1 or c != " ":
+                    yield order, "".join(chars[max(0, k - order + 1) : k + 1]).rjust(order)
+
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[2] is not None]
+    langs = sorted({r[2] for r in learnt})
+    counts = {x: collections.Counter(g for r in learnt if r[2] == x for g in grams(r[1] or "")) for x in langs}
+    sums = {(x, order): sum(n for (o, _), n in counts[x].items() if o == order) + 0.5 * 65536 for x in langs for order in (1, 2, 3)}
+    for doc_id, text, _ in rows:
+        own = list(grams(text or ""))
+        if not any(o == 1 for o, _ in own) or not langs:
+            yield doc_id, "und", 0.0
+            continue
+        score = {x: math.log((sum(r[2] == x for r in learnt) + 1) / (len(learnt) + len(langs))) + sum(math.log((counts[x][g] + 0.5) / sums[x, g[0]]) for g in own) for x in langs}
+        best = max(langs, key=lambda x: (score[x], [-ord(c) for c in x]))
+        yield doc_id, best, 1 / sum(math.exp(score[x] - score[best]) for x in langs)
+
+
+@pytest.mark.parametrize("together", [1, 2, 64])
+def test_language_against_counting(spark, together, monkeypatch):
+    """Equal to counting grams without hashing (no two grams of these texts share a place), whatever is compared at once."""
+    monkeypatch.setattr(language_id, "TOGETHER", together)
+    words = {"en": "the cat sat on a mat and ran", "fr": "le chat sur la table et où été", "de": "die katze für öl und straße", "xx": "漢字 仮名 文字"}
+    rows = []
+    for k in range(60):
+        lang = list(words)[k % 4]
+        own = words[lang].split()
+        rows.append((k, " ".join(own[(k + j) % len(own)] for j in range(1 + k % 5)) + ("!" if k % 7 else " 12"), lang if k % 9 else None))
+    rows += [(100, None, "en"), (101, "", "fr"), (102, "12 !!", "de"), (103, "Zebra", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language_id(df).collect()}
+    for doc_id, lang, score in bayes(rows):
+        assert found[doc_id][0] == lang, doc_id
+        assert abs(found[doc_id][1] - score) < 1e-3, doc_id
+
+
 def test_language_without_rows_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.score) for r in language_id.language_id(df).collect()} == {("und", 0.0)}
@@ -49,6 +97,21 @@ def test_perfect_hash():
         assert ((others >= -1) & (others < max(len(keys), 1))).all()
 
 
+def test_line_index_tells_lines_of_one_hash_apart():
+    """Two lines that share all 64 bits of a hash keep their own counts."""
+    from quirefold.llm.line_dedup import LineIndex
+
+    rng = np.random.default_rng(4)
+    keys, prints = np.sort(rng.integers(0, 2**63, 500).astype(np.uint64)), rng.integers(0, 2**63, 500).astype(np.uint64)
+    keys[101] = keys[100]
+    prints[100:102] = np.sort(prints[100:102])
+    counts, top = np.arange(1, 501), np.arange(500) - 250
+    own = LineIndex.load(LineIndex.build(keys, prints, counts, top).dump())
+    assert [x.tolist() for x in own.probe(keys, prints)] == [counts.tolist(), top.tolist()]
+    assert not own.probe(keys, prints ^ np.uint64(1 << 20))[0].any()
+    assert not own.probe(rng.integers(0, 2**63, 500).astype(np.uint64), prints)[0].any()
+
+
 @pytest.mark.parametrize("together", [1, 32])
 def test_divide_skip_equals_counting(together, monkeypatch):
     monkeypatch.setattr(ngram_join, "TOGETHER", together)
