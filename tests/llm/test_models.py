@@ -80,6 +80,40 @@ def test_quality_accuracy(spark):
     assert rates[0] < 0.3
 
 
+def test_quality_is_the_difference_of_compressed_sizes(spark, folder, rows):
+    """Scores equal those computed block by block from the model's dictionaries, and labels of the held-out fold teach
+    nothing."""
+    import math
+    import zlib
+
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    known = labels.select("doc_id", "quality").filter("doc_id is not null")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = quality_classifier.fit(docs.select("doc_id", "text"), known.filter(~held_out))
+    assert "weights" in model
+
+    def size(text, content):
+        made = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), level=1, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(made.compress(text[k : k + 256])) for k in range(0, len(text), 256))
+
+    def score(text):
+        apart, damp = (size(text, model["bad"]) - size(text, model["good"])) / (len(text) + 64), 1 / (1 + len(text) / 200)
+        return 1 / (1 + math.exp(-sum(w * x for w, x in zip(model["weights"], (apart, apart * damp, damp, 1), strict=True))))
+
+    wanted = {(r[0], r[1]): score((r[1] or "").encode()) for r in rows}
+    found = quality_classifier.quality_classifier(docs, labels).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()
+    for r in found:
+        if r.doc_id != 0:  # its rows have several labels only, not several texts
+            assert math.isclose(r.score, wanted[r.doc_id, r.text], rel_tol=1e-9), r.doc_id
+            assert r.predicted == (wanted[r.doc_id, r.text] >= 0.3)
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    turned = labels.withColumn("quality", F.when(held_out, 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = quality_classifier.quality_classifier(docs, turned)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, quality_classifier.quality_classifier(docs, labels).collect()), key=str)
+
+
 @pytest.mark.parametrize(("labels", "score"), [([], 0.5), ([(1, 1)], 1.0), ([(1, 0), (2, 0)], 0.0)])
 def test_quality_with_little_to_learn(spark, labels, score):
     docs = spark.createDataFrame([(1, "a b c", 9.0), (2, None, None)], "doc_id long, text string, score double")
@@ -196,6 +230,49 @@ def test_pipeline(spark):
     assert ngram_join.keep_one(left, 5, 80).count() == sizes["near_dups"]
 
 
+def row_key(r):
+    return tuple(map(str, r))
+
+
+def test_stages_on_awkward_rows(spark, folder, rows):
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns through every stage, one by one."""
+    import collections
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        found = out.collect()
+        if name == "encode":
+            assert len(found) == docs.count()
+            assert all(r.round_trip for r in found)
+            continue
+        assert out.columns == docs.columns, name
+        before = collections.Counter(row_key(r) for r in docs.collect())
+        if name != "line_dedup":  # what stays is as it was
+            assert not collections.Counter(map(row_key, found)) - before, name
+        else:
+            assert len(found) == sum(before.values())
+        if name in ("near_dups", "decontaminate"):
+            assert any(r.text is None for r in found), name
+        docs = spark.createDataFrame(found, docs.schema)
+
+
+def test_keep_good_is_the_query(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    kept = quality_classifier.keep_good(docs, labels)
+    wanted = quality_classifier.quality_classifier(docs, labels).filter("predicted = 1")
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=str)
+    assert kept.columns == docs.columns
+    assert ids(kept) == ids(wanted)
+
+
+def test_stages_on_empty_tables(spark, empty):
+    docs = spark.read.parquet(f"{empty}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, empty).count() == 0
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 @needs_data
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 500
