@@ -420,3 +420,21 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     if twice.limit(1).count():
         out = out.join(twice, [own, text], "left_anti").unionByName(out.join(twice, [own, text], "left_semi").dropDuplicates([own, text]))
     return out.drop(own, text)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n, hash(list_sort(s)) AS class FROM s),
+c AS (SELECT class, n, min(doc_id) AS doc_id FROM n WHERE n > 0 GROUP BY ALL),
+g AS (SELECT c.doc_id, c.n, unnest(s.s) AS g FROM c JOIN s USING (doc_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY held, g) AS rank FROM (SELECT *, count(*) OVER (PARTITION BY g) AS held FROM g)),
+p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE a.rank <= a.n * 15 // 100 + 1 AND b.rank <= b.n * 15 // 100 + 1 AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+o AS (SELECT a, b, na, nb, len(list_intersect(x.s, y.s)) AS shared FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b),
+e AS (SELECT a, b FROM o WHERE 100 * shared >= 85 * (na + nb - shared)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS v, doc_id AS to_ FROM c UNION SELECT r.v, d.b FROM r JOIN d ON d.a = r.to_),
+k AS (SELECT v, min(to_) AS component_id FROM r GROUP BY v)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(k.component_id, n.doc_id) AS component_id FROM n LEFT JOIN c ON c.class = n.class AND c.n = n.n LEFT JOIN k ON k.v = c.doc_id
+"""

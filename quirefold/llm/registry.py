@@ -19,5 +19,6 @@ QUERIES = {
 ORACLE = {
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
     "op9_tool_calls": tool_calls.ORACLE,
 }

@@ -181,6 +181,39 @@ def test_suffix_dedup_of_a_hot_passage(spark, written_documents, monkeypatch):
     held_against({r.doc_id: [r] for r in suffix_dedup.query(spark, folder).collect()}, rows, repeats(rows))
 
 
+def test_suffix_dedup_of_passages_like_those_of_the_check(spark, written_documents):
+    """Passages of over 50 words in several documents, one of them in a third of all, over 211 partitions: what has 400 bytes
+    goes wherever it stands, what has fewer stays."""
+    rng = random.Random(12)
+    syllables = "an er in on the ti ou re at en nd ha es st ed to it is or ea hi as te et ng of al le".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    passages = [say(rng.randint(51, 110)) for _ in range(12)]
+    assert {len(p) < 400 for p in passages} == {True, False}
+    rows = []
+    for k in range(240):
+        parts = [say(rng.randint(20, 60)) for _ in range(2)]
+        if k % 3 == 0:
+            parts.insert(1, passages[-1])
+        elif k % 3 == 1:
+            parts.insert(1, passages[k % 11])
+        rows.append((k, "\n".join(parts)))
+    folder = written_documents(rows, parts=40)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        found = {r.doc_id: r for r in suffix_dedup.query(spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    held_against({k: [r] for k, r in found.items()}, rows, repeats(rows))
+    for k, text in rows:
+        inside = [p for p in passages if p in text]
+        if inside and len(inside[0]) >= 400:
+            assert found[k].n_removed >= len(inside[0]), k
+        else:
+            assert found[k].n_removed == 0, k
+
+
 def test_multikey_sort():
     from quirefold.llm.textkit import prefix_sums
 
@@ -345,6 +378,17 @@ def test_context_tree_is_the_tree_of_all_training_texts(spark, folder, rows):
         assert np.allclose(sorted(r.score for r in own), sorted(wanted[k]), rtol=1e-5, atol=1e-4), k
 
 
+def test_context_tree_beats_its_base(spark, written_documents):
+    """On held-out prose of a fixed vocabulary the tree says more than counts of words, though it sees bytes."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    weights = [1 / (k + 1) for k in range(300)]
+    rows = [(k, " ".join(rng.choices(words, weights, k=150))) for k in range(600)]
+    found = context_tree.query(spark, written_documents(rows)).filter("held_out").collect()
+    assert sum(r.score for r in found) > sum(r.base_score for r in found)
+    assert sum(r.score > r.base_score for r in found) > 0.9 * len(found)
+
+
 def test_context_tree_learns_from_long_texts(spark, written_documents):
     """Contexts that only one long training text holds are split too."""
     rng = random.Random(11)
