@@ -20,8 +20,7 @@ def parse(spark: SparkSession, path: str, min_size: int = MIN_SIZE, include_foot
     """Paragraphs of a file or of all files that a path names: doc_id, section_no, para_no, text, label, meta. cleaner is an
     operators.cleaner.Cleaner, or the name of a model that the service at llm_url serves; that needs a lexicon, the path of
     a word list."""
-    if isinstance(cleaner, str):
-        cleaner = L.by_name(spark, cleaner, lexicon, llm_url)
+    cleaner = L.by_name(spark, cleaner, lexicon, llm_url) if isinstance(cleaner, str) else cleaner
     suffix = readers.is_source(path)
     if suffix == ".txt":
         return readers.text_files(spark, path).drop("path")

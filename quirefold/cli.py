@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from quirefold.api import Converter
 from quirefold.operators import cleaner as L
 from quirefold.operators import speech
+from quirefold.sources import sinks
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -48,8 +49,8 @@ def main(argv: list[str] | None = None) -> None:
     if args.llm_cleaner and not args.lexicon:
         raise ValueError("--llm-cleaner needs --lexicon, the path of a word list")
     spark = SparkSession.builder.appName("quirefold").getOrCreate()
-    cleaning = {"cleaner": args.llm_model, "lexicon": args.lexicon, "llm_url": args.llm_url} if args.llm_cleaner else {}
-    run = Converter(spark, engine(args), args.dry_run, **cleaning)
+    cleaner = L.by_name(spark, args.llm_model, args.lexicon, args.llm_url) if args.llm_cleaner else None
+    run = Converter(spark, engine(args), args.dry_run, cleaner=cleaner)
     if args.text:
         out = run.convert(args.text, args.output_file, is_text=True)
     else:
@@ -57,6 +58,11 @@ def main(argv: list[str] | None = None) -> None:
     if args.verbose or args.dry_run:
         for row in out.orderBy("section_no", "para_no").toLocalIterator():
             print(row["text"], end="\n\n")
+    if not args.text:
+        for row in sinks.page_progress(out, args.verbose).orderBy("section_no", "para_no").toLocalIterator():
+            print(f"  [Page {row['page']}]")
+    if args.verbose and cleaner and cleaner.timing:
+        print(L.timing_line(cleaner.timing))
 
 
 if __name__ == "__main__":

@@ -13,6 +13,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.operators import chunks as C
@@ -109,6 +110,21 @@ def observed(paragraphs: DataFrame, name: str = "paragraphs") -> tuple[DataFrame
     return paragraphs.observe(watch, F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("characters"), pages.alias("pages")), watch
 
 
+def page_progress(paragraphs: DataFrame, verbose: bool = False) -> DataFrame:
+    """doc_id, section_no, para_no, page: where a report of progress is due. That is each paragraph on another page than the
+    one before if verbose, else the first paragraph and those beyond each tenth page. Pages that are no numbers are passed over."""
+    page = F.element_at("meta", F.lit("page_#"))
+    df = paragraphs.select("doc_id", "section_no", "para_no", page.try_cast("int").alias("page")).filter("page is not null")
+    order = W.partitionBy("doc_id").orderBy("section_no", "para_no")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    if verbose:
+        df = df.withColumn("seen", F.lag("page").over(order)).filter(F.coalesce(F.col("page") != F.col("seen"), F.lit(True)))
+    else:
+        tens = F.floor(F.col("page") / 10)
+        df = df.withColumn("seen", F.coalesce(F.max(tens).over(before), F.lit(-1))).filter(tens > F.col("seen"))
+    return df.drop("seen")
+
+
 def outline(value, indent: int = 0) -> Iterator[str]:
     """Lines of nested dicts and lists, for looking at intermediate results."""
     pad = "  " * indent

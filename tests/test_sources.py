@@ -171,3 +171,53 @@ def test_watching(spark):
     out.write.format("noop").mode("overwrite").save()
     assert watch.get == {"paragraphs": 2, "characters": 5, "pages": 2}
     assert list(sinks.outline({"a": [1, {"b": 2}], "c": "d"})) == ["a:", "  0: 1", "  1:", "    b: 2", "c: d"]
+
+
+def test_page_progress(spark):
+    pages = ["1", "2", "2", "iv", "9", "11", "12", "25", "19", None, "30"]
+    rows = [(1, 0, k, {} if p is None else {"page_#": p}) for k, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "doc_id long, section_no int, para_no int, meta map<string,string>")
+    at = lambda verbose: [r.page for r in sinks.page_progress(df, verbose).orderBy("para_no").collect()]
+    assert at(False) == [1, 11, 25, 30]
+    assert at(True) == [1, 2, 9, 11, 12, 25, 19, 30]
+
+
+def test_cleaner_from_the_command_line(spark, tmp_path, capsys):
+    """A service on this machine answers chat messages; the model is named on the command line."""
+    import http.server
+    import json
+    import threading
+
+    seen = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(asked["model"])
+            text = asked["messages"][1]["content"].rsplit("\n", 1)[1]
+            said = json.dumps({"choices": [{"message": {"content": json.dumps({"cleaned": text.replace("wrng", "wrong"), "classification": "body"})}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(said)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        (tmp_path / "words.txt").write_text("this\nis\nwrong\nright\n")
+        page = {"page_no": 1, "bbox": {"l": 0, "t": 10, "r": 1, "b": 0}, "charspan": [0, 14]}
+        (tmp_path / "b.json").write_text(json.dumps({"name": "b", "texts": [{"label": "text", "text": t, "prov": [page]} for t in ("This is wrng.", "This is right.")]}))
+        url = f"http://127.0.0.1:{server.server_port}/v1/chat/completions"
+        main([str(tmp_path / "b.json"), "--dry-run", "--verbose", "--engine", "tone", "--llm-cleaner", "--llm-model", "own", "--llm-url", url, "--lexicon", str(tmp_path / "words.txt")])
+    finally:
+        server.shutdown()
+    out = capsys.readouterr().out
+    assert "This is wrong." in out
+    assert "This is right." in out
+    assert "(1 skipped)" in out
+    assert "(1 calls)" in out
+    assert seen == ["own"]
+    with pytest.raises(ValueError):
+        main(["x.json", "--llm-cleaner"])
