@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.operators import chunks as C
+from quirefold.operators import layout
 from quirefold.operators.speech import wav_header
 
 
@@ -103,6 +104,27 @@ def markdown_lines(items: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.col("seq").alias("line_no"), F.concat(mark, "text", F.lit("\n")).alias("line"))
 
 
+def write_markdown(items: DataFrame, path: str) -> None:
+    """Layout items as Markdown, one directory for each document."""
+    write_listing(markdown_lines(items), path)
+
+
+def layout_documents(items: DataFrame) -> DataFrame:
+    """doc_id and line: each document's layout items as the JSON that sources.readers.layout_json reads."""
+    box = F.struct(F.lit(0.0).alias("l"), F.col("bbox_height").alias("t"), F.lit(0.0).alias("r"), F.lit(0.0).alias("b"))
+    place = F.struct("page_no", box.alias("bbox"), F.array("charspan.start", "charspan.end").alias("charspan"))
+    text = F.struct("seq", "label", "text", F.when(F.col("has_prov"), F.array(place)).otherwise(F.array().cast("array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double>,charspan:array<int>>>")).alias("prov"))
+    # a document's own items are gathered, as they are one document of JSON
+    rows = items.filter("item_kind = 'text'").groupBy("doc_id").agg(F.sort_array(F.collect_list(text)).alias("t"))
+    texts = F.transform("t", lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"), x["prov"].alias("prov")))
+    return rows.select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("name"), texts.alias("texts"))).alias("line"))
+
+
+def write_pages(items: DataFrame, path: str, start: int, end: int) -> None:
+    """The pages start to end of each document as converted documents of their own; a range outside a document is an error."""
+    layout_documents(layout.page_slice(items, start, end)).write.partitionBy("doc_id").text(path)
+
+
 def observed(paragraphs: DataFrame, name: str = "paragraphs") -> tuple[DataFrame, Observation]:
     """The frame, and an observation that holds its counts once it has been written: progress without a second pass."""
     watch = Observation(name)

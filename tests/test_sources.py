@@ -8,6 +8,7 @@ import pytest
 from quirefold import api
 from quirefold.cli import arguments, engine, main
 from quirefold.operators import compare, speech
+from quirefold.operators.layout import ITEM
 from quirefold.sources import readers, sinks
 
 
@@ -221,3 +222,18 @@ def test_cleaner_from_the_command_line(spark, tmp_path, capsys):
     assert seen == ["own"]
     with pytest.raises(ValueError):
         main(["x.json", "--llm-cleaner"])
+
+
+def test_pages_as_documents(spark, tmp_path):
+    """A slice of a converted document is a converted document."""
+    rows = [(1, k, "text" if k != 3 else "other", "list_item" if k % 2 else "text", f"text {k} é", k != 4, 1 + k // 3, 8.0 + k, (0, 5 + k)) for k in range(12)]
+    items = spark.createDataFrame(rows, ITEM)
+    sinks.write_pages(items, str(tmp_path / "out"), 2, 3)
+    back = readers.layout_json(spark, str(tmp_path / "out" / "doc_id=1")).orderBy("seq").collect()
+    wanted = [r for r in rows if r[2] == "text" and r[6] in (2, 3)]
+    assert [(r.label, r.text, r.has_prov) for r in back] == [(r[3], r[4], r[5]) for r in wanted]
+    assert [(r.page_no, r.bbox_height, tuple(r.charspan)) for r in back if r.has_prov] == [(r[6], r[7], r[8]) for r in wanted if r[5]]
+    with pytest.raises(Exception, match="invalid page range"):
+        sinks.write_pages(items, str(tmp_path / "none"), 2, 9)
+    sinks.write_markdown(items, str(tmp_path / "md"))
+    assert "- text 1 é" in next((tmp_path / "md" / "doc_id=1").glob("part-*")).read_text()
