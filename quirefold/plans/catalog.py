@@ -274,6 +274,23 @@ def paragraphs_min400(spark, sf_dir):
     return P.paragraphs(_lines(spark, sf_dir), 400).select("doc_id", "para_no", "text", "label")
 
 
+@_query(ORACLE["paragraphs_min0"].replace("para_no, text, 'text' AS label FROM p", "para_no, text || chr(10) AS line FROM p"))
+def paragraph_listing(spark, sf_dir):
+    return sinks.paragraph_lines(P.paragraphs(_lines(spark, sf_dir))).select("doc_id", "para_no", "line")
+
+
+@_query(f"""WITH d AS ({ORACLE["build_paragraph"]}), s AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\n+'), lambda x: trim(x) <> '') AS s FROM d)
+SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS segment_no, unnest(s) AS text FROM s""")
+def spoken_segments(spark, sf_dir):
+    whole = QUERIES["build_paragraph"](spark, sf_dir).select("doc_id", F.lit(0).alias("section_no"), F.lit(1).alias("para_no"), "text")
+    return speech.segments(whole).select("doc_id", "segment_no", "text")
+
+
+@_query(f"WITH {LINES} SELECT doc_id, 0 AS section_no, seq, text, 'text' AS label, 'page_#: ' || (seq // 6 + 1) AS meta FROM lines")
+def document_chunks(spark, sf_dir):
+    return C.from_documents(_table(spark, sf_dir, "documents"), lines_per_page=6).withColumn("meta", C.meta_line(F.col("meta")))
+
+
 _TURNS = """
 t AS (SELECT conv_id AS doc_id, turn::INT AS seq, text, CASE WHEN role = 'system' THEN 'section_header' WHEN turn % 5 = 4 THEN 'footnote' ELSE 'text' END AS label,
   (floor(turn / 3)::INT + 1)::VARCHAR AS page FROM conversations)"""
@@ -302,6 +319,12 @@ def context_lookup(spark, sf_dir):
     return P.with_context(P.paragraphs(chunks, clean=False), P.page_contexts(chunks)).select("doc_id", "para_no", "page", "context")
 
 
+@_query(f"""{_ATTRIBUTED}, x AS (SELECT doc_id, para_no, page::INT AS page, coalesce(max(page::INT // 10) OVER (PARTITION BY doc_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS seen FROM n WHERE page IS NOT NULL)
+SELECT doc_id, para_no, page FROM x WHERE page // 10 > seen""")
+def page_progress(spark, sf_dir):
+    return sinks.page_progress(P.paragraphs(_conversation_chunks(spark, sf_dir), clean=False)).select("doc_id", "para_no", "page")
+
+
 @_query(f"WITH {_TURNS} SELECT doc_id, page, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS context FROM t GROUP BY ALL")
 def page_contexts(spark, sf_dir):
     return P.page_contexts(_conversation_chunks(spark, sf_dir)).drop("section_no")
@@ -498,15 +521,49 @@ def cleaned_paragraphs(spark, sf_dir):
 # ---- sections of HTML, audio, comparison ----
 
 
-@_query()
+# The pages hold a list of links, one h1, paragraphs, some of which are never closed and begin with bold words and a line
+# break, and a footer; a few break off. So leaves can be read from the order of tags.
+_PAGE_LEAVES = r"""
+WITH b AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS book_title, regexp_extract(html, '(?is)<body[^>]*>(.*?)(?:</body\s*>|\z)', 1) AS body FROM pages),
+i AS (SELECT *, row_number() OVER (PARTITION BY book_title ORDER BY page_id) AS item_no FROM b),
+k AS (SELECT page_id, unnest(regexp_extract_all(body, '<!--.*?-->|</?[a-zA-Z][^>]*>[^<]*')) AS t, generate_subscripts(regexp_extract_all(body, '<!--.*?-->|</?[a-zA-Z][^>]*>[^<]*'), 1) AS n FROM i),
+t AS (SELECT page_id, n, regexp_extract(t, '^<(/?[a-zA-Z0-9]+)', 1) AS tag, replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '^<[^>]*>', ''), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS txt FROM k WHERE NOT starts_with(t, '<!--')),
+w AS (SELECT *, lead(tag) OVER o AS tag1, lead(txt) OVER o AS txt1, lead(tag, 2) OVER o AS tag2, lead(txt, 2) OVER o AS txt2, lead(tag, 3) OVER o AS tag3,
+  count(*) FILTER (tag = 'nav') OVER o - count(*) FILTER (tag = '/nav') OVER o AS in_nav FROM t WINDOW o AS (PARTITION BY page_id ORDER BY n)),
+l AS (SELECT page_id, min(n) AS n, 'nav' AS tag, string_agg(txt, '' ORDER BY n) AS txt FROM w WHERE in_nav > 0 GROUP BY page_id
+  UNION ALL SELECT page_id, n, tag, txt FROM w WHERE tag IN ('h1', 'footer')
+  UNION ALL SELECT page_id, n, tag, CASE WHEN tag1 = 'b' THEN txt || txt1 || CASE WHEN tag2 = 'br' THEN ' ' || txt2 ELSE '' END ELSE txt END FROM w
+    WHERE tag = 'p' AND coalesce(tag1, '') <> 'p' AND NOT (coalesce(tag1, '') = 'b' AND (coalesce(tag2, '') = 'p' OR (coalesce(tag2, '') = 'br' AND coalesce(tag3, '') = 'p')))),
+h AS (SELECT page_id, CASE WHEN regexp_matches(t, '\p{Lu}') AND NOT regexp_matches(t, '\p{Ll}') THEN """ + _sql_title("t") + r""" ELSE t END AS title, first_n FROM (SELECT page_id, trim(any_value(txt)) AS t, min(n) AS first_n FROM l WHERE tag = 'h1' AND trim(txt) <> '' GROUP BY page_id)),
+c AS (SELECT page_id, -1 AS n, title AS text, 'section_header' AS label, title AS chapter, NULL AS section FROM h
+  UNION ALL SELECT l.page_id, l.n, CASE WHEN l.tag = 'h1' THEN title ELSE l.txt END, CASE WHEN l.tag = 'h1' THEN 'section_header' ELSE 'text' END, CASE WHEN l.tag <> 'h1' THEN title END, CASE WHEN l.n >= first_n THEN title END
+  FROM l LEFT JOIN h USING (page_id) WHERE trim(l.txt) <> '')"""
+
+
+@_query(f"""{_PAGE_LEAVES} SELECT item_no::INT AS section_no, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INT AS seq, text, label,
+  'book_title: ' || book_title || coalesce(' | chapter_title: ' || chapter, '') || ' | item_#: ' || item_no || ' | item_id: page-' || page_id || coalesce(' | section_name: ' || section, '') AS meta FROM c JOIN i USING (page_id)""")
 def html_chunks(spark, sf_dir):
     chunks = html_sections.to_chunks(html_sections.from_pages(_table(spark, sf_dir, "pages")))
-    return chunks.select("doc_id", "section_no", "seq", "text", "label", C.meta_line(F.col("meta")).alias("meta"))
-
-
-@_query()
+    return chunks.select("section_no", "seq", "text", "label", C.meta_line(F.col("meta")).alias("meta"))
+
+
+@_query(f"""{_PAGE_LEAVES.replace("WITH b AS", "WITH RECURSIVE b AS")},
+q AS (SELECT page_id, n, label = 'section_header' AS h, chapter, {_sql_clean("text")} AS text FROM c),
+e AS (SELECT *, row_number() OVER w AS k, lead(h) OVER w AS before_h, lead(text) OVER w AS next_text, lead(chapter) OVER w AS next_chapter, {_sql_ends("text")} AS ends FROM q WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+f AS (SELECT page_id, 0::BIGINT AS k, 0::BIGINT AS held, false AS brk FROM (SELECT DISTINCT page_id FROM e)
+  UNION ALL SELECT page_id, k, CASE WHEN h OR brk THEN 0 ELSE held END, brk FROM (SELECT e.page_id, e.k, e.h, f.held + length(e.text) AS held,
+    NOT e.h AND (e.before_h IS NULL OR (e.ends AND (e.before_h OR f.held + length(e.text) >= 5))) AS brk FROM f JOIN e ON e.page_id = f.page_id AND e.k = f.k + 1)),
+g AS (SELECT e.*, f.brk, coalesce(sum((h OR brk)::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(h::INT) OVER w AS g,
+  last_value(CASE WHEN h THEN text END IGNORE NULLS) OVER w AS heading FROM e JOIN f USING (page_id, k) WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+p AS (SELECT page_id, max(k) AS pos, bool_or(h) AS h, {_sql_join("text", "k")} AS joined, arg_max(text, k) AS last_text, arg_max(brk OR h, k) AS complete, coalesce(arg_max(before_h, k), false) AS cut,
+  arg_max({{'x': chapter}}, k).x AS chapter, arg_max({{'x': next_chapter}}, k).x AS next_chapter, arg_max(heading, k) AS heading, arg_max(next_text, k) AS next_text FROM g GROUP BY page_id, g),
+r AS (SELECT page_id, pos, h, CASE WHEN h THEN last_text ELSE joined END AS text, CASE WHEN complete AND h THEN 'section_header' ELSE 'text' END AS label, CASE WHEN complete THEN chapter ELSE next_chapter END AS chapter,
+  CASE WHEN NOT complete AND cut THEN next_text ELSE coalesce(heading, '') END AS heading FROM p),
+m AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos, h)::INT AS para_no FROM r WHERE text <> '')
+SELECT item_no::INT AS section_no, para_no, text, label, 'book_title: ' || book_title || coalesce(' | chapter_title: ' || chapter, '') || ' | item_#: ' || item_no || ' | item_id: page-' || page_id
+  || ' | paragraph_#: ' || para_no || CASE WHEN heading <> '' THEN ' | section_name: ' || heading ELSE '' END AS meta FROM m JOIN i USING (page_id)""")
 def html_paragraphs(spark, sf_dir):
-    return P.flat(P.paragraphs(html_sections.to_chunks(html_sections.from_pages(_table(spark, sf_dir, "pages"))), 5))
+    return P.flat(P.paragraphs(html_sections.to_chunks(html_sections.from_pages(_table(spark, sf_dir, "pages"))), 5)).drop("doc_id")
 
 
 @_query(f"WITH {LINES} SELECT doc_id, 24000 AS sample_rate, sum(2 * 24 * length(text))::BIGINT AS pcm_bytes FROM lines GROUP BY doc_id")
