@@ -12,8 +12,8 @@ copied often does not hide itself.
 
 An item of one or two words has one seed, all of it, and is reported wherever its words stand in a row.
 
-The items are the stated query set: they go to the workers in blocks of BLOCK_WORDS words, each block in a pass of
-its own over all documents, so what is sent is bounded for any number of items.
+The items are the stated query set: they go to the workers in blocks of BLOCK_WORDS words, PER_PASS blocks with a pass over
+all documents, so what is sent and held is bounded for any number of items.
 
 Defined results: null or empty texts and items hold nothing and are never reported; repeated items and documents are each
 reported; null ids stay null; of equal alignments the first is reported; a text of any length is searched whole, in
@@ -42,6 +42,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
 RUN = 16
 BLOCK_WORDS = 1 << 20
+PER_PASS = 8  # blocks that one pass over the documents serves
 TOGETHER = 64  # alignments that are computed at once
 
 
@@ -214,17 +215,20 @@ def word_shares(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, float]:
     return {int(w): counts.get(k, 0) / n for k, w in enumerate(vocabulary)}
 
 
-def seed_blocks(docs: DataFrame, items: DataFrame) -> Iterator[Seeds]:
-    """The items as seeds, block by block."""
+def seed_blocks(docs: DataFrame, items: DataFrame) -> Iterator[list[Seeds]]:
+    """The items as seeds, in blocks, and those in the lists that one pass serves."""
     spark = docs.sparkSession
     arrow_batches(spark)
     sized = pick(items, item_id="bigint", text="string").filter(F.octet_length("text") > 0).withColumn("words", F.size(F.split("text", r"[\x20\x09-\x0D]+")))
     whole = sized.agg(F.sum("words")).first()[0] or 0
     blocks = -(-whole // BLOCK_WORDS)
-    for k in range(blocks):
-        rows = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").collect()  # about BLOCK_WORDS words
-        ids, texts = [r[0] for r in rows], [r[1].encode() for r in rows]
-        yield Seeds(ids, texts, word_shares(docs, np.unique(word_hashes(texts)[0])))
+    for first in range(0, blocks, PER_PASS):
+        parts = []
+        for k in range(first, min(first + PER_PASS, blocks)):
+            rows = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").collect()  # about BLOCK_WORDS words
+            parts.append(([r[0] for r in rows], [r[1].encode() for r in rows]))
+        shares = word_shares(docs, np.unique(np.concatenate([word_hashes(texts)[0] for _, texts in parts])))
+        yield [Seeds(ids, texts, shares) for ids, texts in parts]
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -233,14 +237,13 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     schema = "doc_id bigint, item_id bigint, score double, run bigint, start_byte bigint, end_byte bigint"
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
 
-    def one(seeds: Seeds) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(seeds)  # a block of items
+    def one(seeds: list[Seeds]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(seeds)  # PER_PASS blocks of items at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = shared.value
             for part in in_slices(batches):
-                ids = part.column("doc_id").to_pylist()
-                rows = [(ids[t], own.ids[i], s, run, a, b) for t, i, s, run, a, b in find(as_bytes(part.column("text")), own, threshold)]
+                ids, texts = part.column("doc_id").to_pylist(), as_bytes(part.column("text"))
+                rows = [(ids[t], own.ids[i], s, run, a, b) for own in shared.value for t, i, s, run, a, b in find(texts, own, threshold)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "run", "start_byte", "end_byte"])
 
@@ -256,7 +259,8 @@ def _clean(shared, threshold: float):
         stays = np.ones(len(texts), dtype=bool)
         at = 0
         for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"])) if len(texts) else ():
-            stays[[at + x[0] for x in find(as_bytes(part.column("text")), shared.value, threshold)]] = False
+            held = as_bytes(part.column("text"))
+            stays[[at + x[0] for own in shared.value for x in find(held, own, threshold)]] = False
             at += part.num_rows
         return pa.array(stays)
 

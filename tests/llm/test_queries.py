@@ -542,7 +542,13 @@ def test_decontaminate_blocks(spark, folder, monkeypatch):
     whole = sorted(map(tuple, decontaminate.query(spark, folder).collect()), key=str)
     assert {r[:2] for r in whole} >= {(4, 0), (4, 5), (7, 1), (0, None), (1, None), (None, None)}
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
+    monkeypatch.setattr(decontaminate, "PER_PASS", 2)
     assert sorted(map(tuple, decontaminate.query(spark, folder).collect()), key=str) == whole
+    docs, items = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "benchmark"))
+    gone = {r[0] for r in whole}
+    kept = decontaminate.keep_clean(docs, items).collect()
+    assert {r.doc_id for r in kept} - {None} == {r.doc_id for r in docs.collect()} - gone - {None}
+    assert [r.text for r in kept if r.doc_id is None] == [None]  # the other row without an id holds an item
 
 
 def test_language_and_quality_rows(spark, folder, rows):
