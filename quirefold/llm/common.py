@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.sources import readers
-
 #: Rows of an Arrow batch handed to Python; texts are large, so batches are short.
 BATCH_ROWS = 1000
 #: And its bytes, unless one text is longer.
@@ -18,6 +16,8 @@ BATCH_BYTES = 16 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; one of a few small files is dealt out to the cores."""
+    from quirefold.sources import readers  # not in workers, which import this module too
+
     return readers.parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
