@@ -20,10 +20,10 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-# Frequent function words of the languages served, lower case.
+# Frequent function words of the languages served, lower case; those that the SQL below lists.
 STOP_WORDS = ("a an and are as at be by for from he in is it of on or that the this to was were with "
               "à au aux avec ce dans de des du elle en est et il la le les ne par pas pour que qui se sur un une "
-              "al como con del el los las lo no para por se su una y "
+              "al como con del el los las lo no para por se su y "
               "als auf aus bei das dem den der die ein eine einen für im ist mit nicht sich sie und von zu").split()
 #: (metric, comparison, threshold): a text that meets any of them is rejected. The base is a table of its own, over whole
 #: numbers, so that no rounding decides.

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quirefold.llm import byte_bpe, context_tree, decontaminate, line_dedup, ngram_join, registry, suffix_dedup
+from quirefold.llm import byte_bpe, context_tree, decontaminate, line_dedup, ngram_join, quality_rules, registry, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -79,6 +79,20 @@ def quality_of(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered), n < 10 or 100 * len(covered) > 20 * n
 
 
+def test_stop_words_are_those_of_the_sql(spark, written_documents):
+    """Each word of either list counts alike, in any case and before a comma or a full stop."""
+    import duckdb
+
+    listed = set(re.findall(r"'([^']+)'", quality_rules._STOP_SQL))
+    words = sorted(listed | set(quality_rules.STOP_WORDS) | {"una"})
+    folder = written_documents([*enumerate(words), (1000, "Una casa, una mesa y UNA. una, silla " * 3), (1001, " ".join(words))])
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    wanted = db.execute(f"SELECT doc_id, n_stop, kept FROM ({registry.ORACLE['op6_quality_rules']}) ORDER BY doc_id").fetchall()
+    assert [(r.doc_id, r.n_stop, r.kept) for r in registry.QUERIES["op6_quality_rules"](spark, folder).orderBy("doc_id").collect()] == wanted
+    assert listed == set(quality_rules.STOP_WORDS)
+
+
 def test_quality_rules(spark, folder, rows):
     held_against(got(spark, "op6_quality_rules", folder), rows, lambda _, t: quality_of(t))
 
