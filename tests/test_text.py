@@ -86,3 +86,9 @@ def test_white_space_takes_linear_time(spark):
     short, long = min(took(250_000) for _ in range(2)), took(1_000_000)
     assert long < 10 * short + 1
     assert long < 20
+
+
+def test_title_keeps_its_own_leading_numeral(spark):
+    """Words that are Roman numerals by the pattern stay as they are, put in or not."""
+    df = spark.createDataFrame([("CI OSES CIÓN X'S",), ("MI MI OS X'S",), ("CIO OSES X'S",)], "x string")
+    assert [r[0] for r in df.select(T.enhance_title(F.col("x"))).collect()] == ["CI Oses Ción X's", "MI Mi Os X's", "Cio Oses X's"]
