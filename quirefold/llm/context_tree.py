@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import arrow_batches, dropped, fold, pick, table, written
-from quirefold.llm.textkit import LOWER, U64, as_bytes, in_slices, lay, mix, owner, prefix_sums, span_hashes, words_of
+from quirefold.llm.textkit import LOWER, SLICE_BYTES, U64, as_bytes, in_slices, lay, mix, owner, prefix_sums, return_memory, span_hashes, words_of
 
 DEPTH = 6
 #: Contexts above the shards.
@@ -49,8 +49,11 @@ SPLITS = 1 << 12
 #: Decisions whose trees are computed at once on the driver.
 PLACES = 32
 SLICE = 1_900_000
-#: Bytes of a slice whose cells are dealt; they are sorted in pieces of SLICE.
+#: Bytes of a slice whose cells are dealt, and its distinct cells, if those come first. Texts are sorted in pieces of
+#: SLICE_BYTES, and so many pieces are merged at once.
 CELL_SLICE = 16_000_000
+CELLS = 3 << 20
+PIECES = 4
 END = U64(0xE0D5E0D5E0D5E0D5)  # stands for the end among word hashes
 
 
@@ -220,12 +223,13 @@ def levels(cells: np.ndarray, counts: np.ndarray, top: int, depth: int) -> list[
     return out
 
 
-def weigh(cells: np.ndarray, counts: np.ndarray, top: int, depth: int, below: np.ndarray | None = None, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weigh(cells: np.ndarray, counts: np.ndarray, top: int, depth: int, below: np.ndarray | None = None, entry: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """For each cell: log10 of the byte's probability; for each bit the log weight of its node at top; for each bit what
     the path to a node of its own at depth leaves open and has mixed. below: weights of the nodes at depth from their own
-    subtrees, for which no probability is given here (nan). entry: what the path to top leaves open and has mixed."""
+    subtrees, for which no probability is given here (nan). entry: what the path to top leaves open and has mixed, and the
+    row of it for each cell. The weights are given without entry only, and what is left open with below only."""
     n, byte = len(cells), (cells & U64(255)).astype(np.int64)
-    said, up, left = np.zeros(n), np.zeros((n, 8)), np.zeros((n, 8, 2))
+    said, up, left = np.zeros(n), np.zeros((n, 8)) if entry is None else None, None if below is None else np.zeros((n, 8, 2))
     tree = levels(cells, counts, top, depth) if n else []
     last = np.full(n, -1)
     for k, level in enumerate(tree):
@@ -254,12 +258,14 @@ def weigh(cells: np.ndarray, counts: np.ndarray, top: int, depth: int, below: np
             if k:
                 share, mixed = share[parents[k]], mixed[parents[k]]
             else:
-                share, mixed = (np.ones(len(firsts[0])), np.zeros(len(firsts[0]))) if entry is None else entry[firsts[0], bit].T.astype(float)
-                rows = np.flatnonzero(where >= 0)
-                up[rows, bit] = whole[groups[0][where[rows]]]
+                share, mixed = (np.ones(len(firsts[0])), np.zeros(len(firsts[0]))) if entry is None else entry[0][entry[1][firsts[0]], bit].T.astype(float)
+                if up is not None:
+                    rows = np.flatnonzero(where >= 0)
+                    up[rows, bit] = whole[groups[0][where[rows]]]
             at = np.flatnonzero(last == k)
             group = groups[k][where[at]]
-            left[at, bit, 0], left[at, bit, 1] = share[group], mixed[group]
+            if left is not None:
+                left[at, bit, 0], left[at, bit, 1] = share[group], mixed[group]
             zeros, ones = sums[k]
             mixed = mixed + share * held[k] * (ones + 0.5) / (zeros + ones + 1.0)
             share = share * (1 - held[k])
@@ -275,10 +281,40 @@ def weigh(cells: np.ndarray, counts: np.ndarray, top: int, depth: int, below: np
 def cells_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """The cell of each byte to code, and the text of each."""
     data, at, which = streams(texts)
-    out = np.zeros(len(at), dtype=U64)
+    out = np.zeros(len(data), dtype=U64)
     for d in range(1, DEPTH + 1):
-        out = out << U64(8) | data[at - d]
-    return out << U64(8) | data[at], which
+        out <<= U64(8)
+        out[d:] |= data[:-d]
+    out <<= U64(8)
+    out |= data
+    return out[at], which
+
+
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct values of all parts, in order."""
+    out = np.concatenate(parts)
+    out.sort()
+    return out[runs(out)]
+
+
+def tallied(cells: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells in order, and how many of each are to be learnt from. Cells have 56 bits, so that the mark is
+    sorted with them and no order is held."""
+    marked = cells << U64(1) | learn
+    marked.sort()
+    names = marked >> U64(1)
+    first = runs(names)
+    marked &= U64(1)
+    return names[first], np.add.reduceat(marked, first).astype(np.int64)
+
+
+def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells of all parts in order, and the sums of their counts; a part has a cell once."""
+    names = distinct([own for own, _ in parts])
+    counts = np.zeros(len(names), dtype=np.int64)
+    for own, count in parts:
+        counts[np.searchsorted(names, own)] += count
+    return names, counts
 
 
 def short(cells: np.ndarray) -> np.ndarray:
@@ -291,9 +327,9 @@ def shard_of(cells: np.ndarray, shards: int) -> np.ndarray:
 
 
 def in_pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts in lists of about SLICE bytes, with the number of the first."""
+    """The texts in lists of about SLICE_BYTES, with the number of the first."""
     base = 0
-    for some in pieces(texts, SLICE):
+    for some in pieces(texts, SLICE_BYTES):
         yield base, some
         base += len(some)
 
@@ -314,14 +350,9 @@ def cell_slices(docs: DataFrame, shards: int) -> DataFrame:
     in training texts."""
     arrow_batches(docs.sparkSession)
 
-    def rows(ids: list, keys: list, texts: list[bytes], held: list) -> Iterator[pa.RecordBatch]:
-        learn, found = ~np.array(held, dtype=bool), []
-        for base, some in in_pieces(texts):
-            cells, which = cells_of(some)
-            names, place = np.unique(cells, return_inverse=True)
-            found.append((names, np.bincount(place, weights=learn[base + which], minlength=len(names))))
-        names, place = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate([c for _, c in found]), minlength=len(names)).astype(np.int64)
+    def rows(ids: list, keys: list, texts: list[bytes], held: list, found: list) -> Iterator[pa.RecordBatch]:
+        names, counts = joined(found)
+        found.clear()
         shard = shard_of(names, shards)
         order = np.argsort(shard, kind="stable")
         names, counts, shard = names[order], counts[order], shard[order]
@@ -338,27 +369,31 @@ def cell_slices(docs: DataFrame, shards: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["slice", "shard", "ids", "keys", "held", "body", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = ([], [], [], []), 0
+        held, found, size = ([], [], [], []), [], 0
         for piece in in_slices(batches):
-            texts = [t or b"" for t in as_bytes(piece.column("text"))]
-            for own, more in zip(held, (piece.column("doc_id").to_pylist(), piece.column("text_key").to_pylist(), texts, piece.column("held_out").to_pylist()), strict=True):
+            texts, out = [t or b"" for t in as_bytes(piece.column("text"))], piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            for own, more in zip(held, (piece.column("doc_id").to_pylist(), piece.column("text_key").to_pylist(), texts, out.tolist()), strict=True):
                 own.extend(more)
+            cells, which = cells_of(texts)
+            found.append(tallied(cells, ~out[which]))
             size += sum(map(len, texts))
-            if size >= CELL_SLICE:
-                yield from rows(*held)
-                held, size = ([], [], [], []), 0
+            if len(found) > PIECES or sum(len(own) for own, _ in found) >= CELLS:
+                found = [joined(found)]
+            if size >= CELL_SLICE or len(found[0][0]) >= CELLS:
+                yield from rows(*held, found)
+                held, found, size = ([], [], [], []), [], 0
         if held[0]:
-            yield from rows(*held)
+            yield from rows(*held, found)
 
     return docs.select("doc_id", "text_key", "text", "held_out").mapInArrow(run, "slice bigint, shard bigint, ids array<bigint>, keys array<bigint>, held array<boolean>, body binary, sizes binary")
 
 
 def merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The cells of a shard in order, their counts, and those of each row."""
+    """The cells of a shard in order, their counts, and the places of those of each row."""
+    return_memory()
     own = [unpacked(x, U64) for x in pdf["body"]]
-    names, place = np.unique(np.concatenate(own), return_inverse=True)
-    counts = np.bincount(place, weights=np.concatenate([unpacked(x, np.int64) for x in pdf["sizes"]]), minlength=len(names))
-    return names, counts, np.split(place, np.cumsum([len(x) for x in own])[:-1])
+    names, counts = joined([(x, unpacked(y, np.int64)) for x, y in zip(own, pdf["sizes"], strict=True)])
+    return names, counts, [np.searchsorted(names, x).astype(np.int32) for x in own]
 
 
 def tree_scores(docs: DataFrame) -> DataFrame:
@@ -385,26 +420,30 @@ def tree_scores(docs: DataFrame) -> DataFrame:
         tops, known, entry = shared.value
         cells, counts, own = merged(pdf)
         place = np.searchsorted(tops, short(cells))
-        said, _, _ = weigh(cells, counts, TOP, DEPTH, entry=entry[place])
+        said, _, _ = weigh(cells, counts, TOP, DEPTH, entry=(entry, place))
         said = np.where(np.isnan(said), known[place], said).astype(np.float32)
         return pd.DataFrame({"slice": pdf["slice"], "shard": pdf["shard"], "said": [packed(said[x]) for x in own]})
 
     def sums(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        return_memory()
         out = []
-        known = [unpacked(x, np.float32) for x in parts.sort_values("shard")["said"]]
+        known = np.concatenate([unpacked(x, np.float32) for x in parts.sort_values("shard")["said"]])
         for _, s in own.iterrows():
             data, ends = unpacked(s["body"], np.uint8).tobytes(), np.cumsum(unpacked(s["sizes"], np.int64)).tolist()
             texts = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             found = []
-            for base, some in in_pieces(texts):
-                cells, which = cells_of(some)
-                found.append((base, which.astype(np.int32), *np.unique(cells, return_inverse=True)))
-            names = np.unique(np.concatenate([f[2] for f in found]))
+            for _, some in in_pieces(texts):  # once for the names and once for the sums, as places of all bytes would be held
+                found.append(distinct([cells_of(some)[0]]))
+                if len(found) > PIECES:
+                    found = [distinct(found)]
+            names = distinct(found)
             said = np.empty(len(names), dtype=np.float32)
-            said[np.argsort(shard_of(names, shards), kind="stable")] = np.concatenate(known)
+            said[np.argsort(shard_of(names, shards), kind="stable")] = known
             score, n_bytes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-            for base, which, own_names, place in found:
-                n = int(which[-1]) + 1
+            for base, some in in_pieces(texts):
+                cells, which = cells_of(some)
+                own_names, place = np.unique(cells, return_inverse=True)
+                n = len(some)
                 score[base : base + n] = np.bincount(which, weights=said[np.searchsorted(names, own_names)][place], minlength=n)
                 n_bytes[base : base + n] = np.bincount(which, minlength=n)
             out.append(pd.DataFrame({"doc_id": pd.array(s["ids"], dtype="Int64"), "text_key": s["keys"], "held_out": s["held"], "score": score, "n_bytes": n_bytes}))

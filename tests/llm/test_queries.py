@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quirefold.llm import byte_bpe, context_tree, decontaminate, line_dedup, ngram_join, quality_rules, registry, suffix_dedup
@@ -421,6 +422,69 @@ def test_context_tree_learns_from_long_texts(spark, written_documents):
     assert found[held[0]].bits_per_byte < 0.5
 
 
+class Captured:
+    """Stands for a frame, and keeps the function that it is to be mapped by."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, function, _):
+        self.function = function
+        return self
+
+
+def cells_dealt(spark, texts, shards=7):
+    """The rows of cell_slices, and the most bytes held at once on the way beside the texts."""
+    import tracemalloc
+
+    frame = Captured(spark)
+    context_tree.cell_slices(frame, shards)
+    ids = np.arange(len(texts))
+    whole = pa.table({"doc_id": ids, "text_key": ids, "text": texts, "held_out": ids % 7 == 2})
+    tracemalloc.start()
+    try:
+        batches = [b.to_pydict() for b in frame.function(iter(whole.to_batches(max_chunksize=1000)))]
+        return batches, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_context_tree_slices_stay_small(spark):
+    """Bytes held at once by a worker that deals a slice of 16 MB; it was 36 for each byte. Texts whose cells are mostly
+    distinct are cut into more slices."""
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnop"), n)) for n in rng.integers(2, 9, 2000)])
+    prose = [" ".join(rng.choice(words, 500)) for _ in range(6000)]
+    batches, most = cells_dealt(spark, prose)
+    assert sum(map(len, prose)) > 16_000_000 and len(batches) == 2
+    assert most < 16 * 16_000_000
+    noise = ["".join(map(chr, x)) for x in rng.integers(33, 127, (1800, 4000))]
+    batches, most = cells_dealt(spark, noise)
+    assert sum(len(x) for b in batches for x in b["ids"] if x) == len(noise) and len(batches) == 2
+    assert most < 16 * 16_000_000
+
+
+def test_context_tree_slices_hold_each_cell_once(spark):
+    """Whatever is merged on the way, the shards' cells and counts are those of the texts."""
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("abcAB é\n") for _ in range(rng.choice((0, 1, 5, 300_000)))) for _ in range(40)]
+    (batch,), _ = cells_dealt(spark, texts)
+    cells, which = context_tree.cells_of([t.encode() for t in texts])
+    wanted = collections.Counter(cells.tolist())
+    for cell, n in collections.Counter(cells[which % 7 == 2].tolist()).items():
+        wanted[cell] -= n
+    found = {}
+    for shard, body, sizes in zip(batch["shard"], batch["body"], batch["sizes"], strict=True):
+        if shard >= 0:
+            own, counts = context_tree.unpacked(body, np.uint64), context_tree.unpacked(sizes, np.int64)
+            assert (context_tree.shard_of(own, 7) == shard).all() and not found.keys() & set(own.tolist())
+            found |= zip(own.tolist(), counts.tolist(), strict=True)
+    assert found == wanted
+
+
 def smith_waterman(a, b):
     best, row = 0, [0] * (len(b) + 1)
     for x in a:
