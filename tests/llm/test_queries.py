@@ -111,6 +111,47 @@ def test_byte_bpe(spark, folder, rows):
     held_against(got(spark, "op2_byte_bpe", folder), rows, wanted)
 
 
+def test_bpe_pieces_share_encodings(monkeypatch, tmp_path):
+    """An encoding is made for thousands of new pieces, not for each; bounds change no id, and what a slice uses is kept."""
+    import tiktoken
+
+    path, pattern = byte_bpe.public_vocabulary()
+    reference = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(5)
+    odd = ["", "\xff", "ÿ\xff ÿ", "\x00", "\n\n a\x1c \t", "漢字🙂" * 9, "y" * 3000]
+    texts = odd + [" ".join("".join(rng.choice("abcdefghiéß漢🙂\xff'1") for _ in range(rng.randint(1, 9))) for _ in range(500)) for _ in range(12)]
+    wanted = [reference.encode_ordinary(text) for text in texts]
+    trips = [(len(ids), " ".join(map(str, ids)), text.encode()) for ids, text in zip(wanted, texts, strict=True)]
+
+    class Counted:
+        def __init__(self, library):
+            self.library, self.made, self.pieces = library, 0, 0
+
+        def encode_batch_fast(self, inputs, **how):
+            self.made += len(inputs)
+            self.pieces += sum(1 if isinstance(x, str) else len(x) for x in inputs)
+            return self.library.encode_batch_fast(inputs, **how)
+
+    own = byte_bpe.Codec(path, pattern)
+    own.library = counted = Counted(own.library)
+    assert own.encode(texts) == wanted
+    assert counted.pieces > 4000 and counted.made <= 2
+    assert list(own.round_trips(texts)) == trips
+    monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 40)
+    before = counted.pieces
+    assert own.encode(texts[-1:]) == wanted[-1:] and counted.pieces == before
+    monkeypatch.setattr(byte_bpe, "SENT_PIECES", 7)
+    for _ in range(2):
+        assert [ids for text in texts for ids in own.encode([text])] == wanted
+        assert [trip for text in texts for trip in own.round_trips([text])] == trips
+
+    (tmp_path / "few").write_text("YQ== 0\nYg== 1\nYWI= 2\n")
+    few = byte_bpe.Codec(str(tmp_path / "few"), pattern)
+    assert few.encode(["abba"]) == [[2, 1, 0]]
+    with pytest.raises(ValueError, match="lacks a byte"):
+        few.encode(["abc"])
+
+
 def test_bpe_operators(spark):
     path, pattern = byte_bpe.public_vocabulary()
     df = spark.createDataFrame([(1, "Héllo 🙂 wörld"), (2, None), (3, "")], "doc_id int, text string")
